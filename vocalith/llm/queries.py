@@ -5,13 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vocalith.llm import mixing, packing, quality, sharding, simhash
+from vocalith.llm import chat, mixing, packing, quality, sharding, simhash
 from vocalith.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is read back from the windows.  SHA-256 runs over a whole conversation, so its turns meet here."""
+    control = F.lit("</s>[INST] ok [/INST]").alias("text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), control)
+    made = chat.windows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra))
+    whole = (
+        chat.read_turns(made)
+        .groupBy("conv_id")
+        .agg(
+            F.sort_array(F.flatten(F.collect_list("turns"))).alias("t"),
+            F.sort_array(F.flatten(F.collect_list("losses"))).alias("l"),
+            F.sum("formatted_chars").cast("long").alias("formatted_chars"),
+            F.count("*").alias("n_windows"),
+        )
+    )
+    turns = F.array_join(F.transform("t", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
+    loss = F.array_join(F.transform("l", lambda x: x.text), "")
+    return whole.select(
+        "conv_id",
+        F.size("t").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+        "n_windows",
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +74,7 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_windows": op1_chat_windows,
     "op3_simhash": op3_simhash,
     "op4_kd_shards": op4_kd_shards,
     "op7_pfair_mixing": op7_pfair_mixing,
@@ -53,6 +83,43 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_windows": """
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), r AS (
+            SELECT *, (strlen(text) + 3) // 4 + 4 AS tok, row_number() OVER o AS pos,
+                   role = 'system' AND coalesce(sum((role = 'system')::INT) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS sys,
+                   8 + length(role) + 1 + 8 + length(replace(replace(replace(replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)),
+                       '<|', '<' || chr(92) || '|'), '</s>', '<' || chr(92) || '/s>'), '<s>', '<' || chr(92) || 's>'), '[INST]', '[' || chr(92) || 'INST]'),
+                       '[/INST]', '[' || chr(92) || '/INST]'), '<<SYS>>', '<' || chr(92) || '<SYS>>'), '<</SYS>>', '<' || chr(92) || '</SYS>>')) AS chars
+            FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)
+        ), s AS (SELECT conv_id, tok AS sys_tok, chars AS sys_chars FROM r WHERE sys),
+        p AS (
+            SELECT r.conv_id, pos, tok, chars, coalesce(sys_tok, 0) AS sys_tok, coalesce(sys_chars, 0) AS sys_chars,
+                   greatest(1792 - coalesce(sys_tok, 0), 512) // 2 AS half,
+                   coalesce(sum(tok) OVER (PARTITION BY r.conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM r LEFT JOIN s USING (conv_id) WHERE NOT sys
+        ), w AS (
+            SELECT conv_id, start // half AS bin, tok > half AS long, min(start) AS first, any_value(least(256, half)) AS back,
+                   any_value(sys_chars) AS sys_chars, sum(chars) AS chars
+            FROM p GROUP BY conv_id, start // half, tok > half
+        ), h AS (
+            SELECT w.conv_id, w.bin, w.long, sum(p.chars) AS chars
+            FROM w JOIN p ON p.conv_id = w.conv_id AND p.start < w.first AND p.start >= w.first - w.back GROUP BY ALL
+        ), f AS (
+            SELECT conv_id, sum(w.chars + sys_chars + coalesce(h.chars, 0))::BIGINT AS formatted_chars, count(*) AS n_windows
+            FROM w LEFT JOIN h USING (conv_id, bin, long) GROUP BY conv_id
+        ), d AS (
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+                   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256
+            FROM r GROUP BY conv_id
+        )
+        SELECT d.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
+               coalesce(formatted_chars, sys_chars)::BIGINT AS formatted_chars, coalesce(n_windows, 1) AS n_windows
+        FROM d LEFT JOIN f USING (conv_id) LEFT JOIN s USING (conv_id)
+    """,
     "op8_quality_ledger": """
         WITH w AS (
             SELECT doc_id, coalesce(text, '') AS text,
