@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm import chat, mixing, packing, quality, sharding, simhash
+from vocalith.llm import chat, mixing, packing, quality, sharding, simhash, toxicity
 from vocalith.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,11 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op4_kd_shards": op4_kd_shards,
     "op7_pfair_mixing": op7_pfair_mixing,
     "op8_quality_ledger": op8_quality_ledger,
+    "op9_toxicity": op9_toxicity,
     "op10_length_buckets": op10_length_buckets,
 }
 
