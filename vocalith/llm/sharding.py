@@ -123,7 +123,7 @@ def tree(rows: DataFrame, shards: int, dims: int) -> DataFrame:
         if cuts:
             left = F.get("keys", _cases(F.col("node"), list(dim.items()), "int")) <= _cases(F.col("node"), list(cuts.items()), "long")
             child = F.when(left, F.col("node") * 2).otherwise(F.col("node") * 2 + 1)
-            rows = rows.withColumn("node", F.when(F.col("node").isin(list(cuts)), child).otherwise(F.col("node")))
+            rows = settle(rows.withColumn("node", F.when(F.col("node").isin(list(cuts)), child).otherwise(F.col("node"))))
         leaves = below
     return rows.withColumn("shard", _cases(F.col("node"), list(shard_of.items()), "int")).drop("node")
 
