@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm import chat, mixing, packing, quality, sharding, simhash, toxicity
+from vocalith.llm import chat, mixing, packing, quality, sharding, simhash, toxicity, warc
 from vocalith.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,12 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = warc.archive_dir(spark)
+    warc.write(table(spark, sf_dir, "pages"), root)
+    return warc.read(spark, root, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -80,6 +86,7 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_chat_windows": op1_chat_windows,
+    "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
     "op4_kd_shards": op4_kd_shards,
     "op7_pfair_mixing": op7_pfair_mixing,
@@ -126,6 +133,18 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(formatted_chars, sys_chars)::BIGINT AS formatted_chars, coalesce(n_windows, 1) AS n_windows
         FROM d LEFT JOIN f USING (conv_id) LEFT JOIN s USING (conv_id)
     """,
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+                   min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+        ), five AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(h, i::INT * 5 + 1, 5))::BIGINT) AS v FROM p)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+               array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+                   lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> k) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM five
+    """,
     "op8_quality_ledger": """
         WITH w AS (
             SELECT doc_id, coalesce(text, '') AS text,
