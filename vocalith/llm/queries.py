@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm import chat, mixing, neighbours, packing, quality, sharding, simhash, toxicity, warc
+from vocalith.llm import chat, langid, mixing, neighbours, packing, quality, sharding, simhash, toxicity, warc
 from vocalith.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), langid.train(table(spark, sf_dir, "documents")))
+
+
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op4_kd_shards": op4_kd_shards,
     "op5_prefix_forest": op5_prefix_forest,
+    "op6_language": op6_language,
     "op7_pfair_mixing": op7_pfair_mixing,
     "op8_quality_ledger": op8_quality_ledger,
     "op9_toxicity": op9_toxicity,
