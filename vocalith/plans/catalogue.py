@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from vocalith.plans import scoring
+
+_ALL = (scoring,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in _ALL for k, q in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: q for m in _ALL for k, q in m.ORACLE_SQL.items()}
