@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,25 +64,39 @@ def score(cls: str, p: Column) -> Column:
     return F.struct(F.lit(cls).alias("cls"), p.alias("probability"))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, and not again for each element that ``body`` goes over."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
 def distribution(scores: Column) -> Column:
     """Softmax over the scores and ``unknown``, whose evidence is what the best score lacks of 1."""
-    lack = F.greatest(F.lit(0.08), 1 - F.array_max(scores))
-    e = F.concat(F.transform(scores, lambda x: F.exp(TEMPERATURE * x)), F.array(F.exp(TEMPERATURE * lack)))
     names = F.array(*[F.lit(c) for c in (*CLASSES, UNKNOWN)])
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.zip_with(names, e, lambda n, x: F.struct(n.alias("cls"), (x / total).alias("probability")))
+
+    def shares(s: Column) -> Column:
+        lack = F.greatest(F.lit(0.08), 1 - F.array_max(s))
+        e = F.concat(F.transform(s, lambda x: F.exp(TEMPERATURE * x)), F.array(F.exp(TEMPERATURE * lack)))
+        return _bound(e, lambda v: _bound(F.struct(v.alias("e"), _sum(v).alias("t")), lambda b: F.transform(b.e, lambda x: x / b.t)))
+
+    return F.zip_with(names, _bound(scores, shares), lambda n, p: F.struct(n.alias("cls"), p.alias("probability")))
 
 
 def blend(dist: Column, alphas: Column) -> Column:
     """``dist`` weighted by the subject's priors: clamp(1 + (mean / uniform - 1) / 2, 0.5, 2), unknown as it is."""
-    total = F.aggregate(alphas, F.lit(0.0), lambda a, x: a + x)
-    factor = lambda i: F.when(i >= len(CLASSES), 1.0).otherwise(
-        F.least(F.lit(2.0), F.greatest(F.lit(0.5), 1 + 0.5 * (len(CLASSES) * F.get(alphas, i) / total - 1)))
-    )
-    raised = F.transform(dist, lambda x, i: F.struct(x.cls.alias("cls"), (x.probability * factor(i)).alias("probability")))
-    mass = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x.probability)
-    whole = F.when(mass == 0, F.lit(1.0)).otherwise(mass)
-    return F.transform(raised, lambda x: F.struct(x.cls.alias("cls"), (x.probability / whole).alias("probability")))
+    k = len(CLASSES)
+    clamp = lambda f: F.least(F.lit(2.0), F.greatest(F.lit(0.5), f))
+    factors = _bound(F.struct(alphas.alias("a"), _sum(alphas).alias("t")), lambda b: F.transform(b.a, lambda x: clamp(1 + 0.5 * (k * x / b.t - 1))))
+    raised = F.zip_with(dist, F.concat(factors, F.array(F.lit(1.0))), lambda x, f: F.struct(x.cls.alias("cls"), (x.probability * f).alias("p")))
+    mass = lambda r: F.aggregate(r, F.lit(0.0), lambda a, x: a + x.p)
+
+    def shares(r: Column) -> Column:
+        return _bound(F.struct(r.alias("r"), mass(r).alias("m")), lambda b: F.transform(b.r, lambda x: F.struct(x.cls.alias("cls"), (x.p / F.when(b.m == 0, F.lit(1.0)).otherwise(b.m)).alias("probability"))))
+
+    return _bound(raised, shares)
 
 
 def ranked(dist: Column) -> Column:
