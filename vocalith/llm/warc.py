@@ -239,7 +239,8 @@ def read(spark: SparkSession, root: str, payload: bool = True) -> DataFrame:
                             some, size = [], 0
                     yield pa.RecordBatch.from_pylist(some, arrow)
 
-    return files.repartition("shard", "seq").mapInArrow(run, spec)
+    # a task for each file; a number that is given is not coalesced, however small the manifest is
+    return files.repartition(max(1, files.count())).mapInArrow(run, spec)
 
 
 def archive_dir(spark: SparkSession) -> str:
