@@ -155,7 +155,7 @@ def write(
     marks = later.select("page_id", F.lit("").alias("url"), F.lit("").alias("html"), "digest", "shard", F.col("first").alias("refers_to"), F.lit(0).alias("kind"))
     both = marks.union(rows.select("page_id", "url", "html", "digest", "shard", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")))
     shards = rows.agg(F.max("shard")).first()[0] or 0
-    placed = both.repartition(shards + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    placed = both.repartitionById(shards + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, mark, done = _Files(root, roll_bytes, TaskContext.get().taskAttemptId()), None, []
