@@ -109,6 +109,13 @@ def wav_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("path", "error", F.round("duration", 4).alias("duration"), "place", *[F.round(F.col(f"s.{c}"), 4).alias(c) for c in ("start", "end")], *[F.round(f"s.features.{c}", 4).alias(c.lower()) for c in ("f0Hz", "voicedRatio", "spectralCentroidHz")])
 
 
+def feature_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve features of each segment of each clip, best segment first."""
+    df = audio.analyze(_clips(spark, sf_dir)).select("path", F.posexplode("segments").alias("place", "s"))
+    names = [f.name for f in df.schema["s"].dataType["features"].dataType.fields]
+    return df.select("path", "place", *[F.round(f"s.features.{c}", 4).alias(c.lower()) for c in names])
+
+
 def log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of each band of each clip's standardized log-mel picture."""
 
@@ -120,7 +127,7 @@ def log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", F.posexplode("bands").alias("band", "mean"))
 
 
-QUERIES = {f.__name__: f for f in (frame_peak_normalize, frame_rms_zcr, framed_rms, power_spectrum_64, spectral_centroid_flatness, autocorr_best_lag, wav_segments, log_mel)}
+QUERIES = {f.__name__: f for f in (frame_peak_normalize, frame_rms_zcr, framed_rms, power_spectrum_64, spectral_centroid_flatness, autocorr_best_lag, wav_segments, feature_record, log_mel)}
 
 _X = "x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
 _HANN = "(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 63))"
