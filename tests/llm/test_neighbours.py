@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vocalith.llm import neighbours
@@ -52,3 +53,24 @@ def test_copies_ties_and_unusable(spark):
     few = neighbours.nearest(df.where("vec_id in (0, 1, 340)"), F.col("vec_id") % 20 == 0, share=1000).collect()
     assert sorted((r.query_id, r.vec_id) for r in few) == [(0, 1), (0, 340), (340, 0), (340, 1)]
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+@pytest.mark.parametrize("distinct,copies", [(3, 1), (10, 1), (20, 1), (30, 1), (60, 1), (200, 1), (600, 1), (8, 100), (40, 10)])
+def test_small_and_copied_tables_with_the_default_share(spark, distinct, copies):
+    rng = np.random.default_rng(distinct)
+    x = rng.normal(size=(distinct, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).tolist()
+    rows = [(i, x[i % distinct]) for i in range(distinct * copies)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    want = brute(rows)
+    found = recall(got, want)
+    print("recall", distinct, copies, found)
+    assert len(got) == sum(map(len, want.values()))
+    assert found >= (0.9 if distinct > neighbours.LEAST else 1)
+
+
+def test_few_vectors_of_unlike_norms(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.normal(size=8) * (1 + i % 7)]) for i in range(30)] + [(i, [0.01] * 8) for i in range(30, 50)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert {(r.query_id, r.rank, r.vec_id) for r in got} == {(q, i, v) for q, w in brute(rows).items() for i, (v, _) in enumerate(w, 1)}

@@ -5,9 +5,11 @@ trees.  For the largest inner product, vectors are first given one more componen
 makes all norms equal, and queries a zero there.  The index lies in shards by a hash of
 the id; a shard keeps, for each tree, its hash strings as a sorted array.  A query
 descends in all trees to its longest matching prefix and then ascends in all of them
-together, a bit at a time, until the matches in all trees together reach ``SHARE`` times the shard.
-The candidates at that prefix length are scored in double precision.  Shards meet the
-queries in blocks of fixed size, so no task grows with either side.
+together, a bit at a time, until the matches in all trees together reach ``SHARE`` times the shard
+and the different candidates ``LEAST`` (or the whole shard).  The query's own node counts for
+neither; it is always a candidate, for its copies.  The inner products of a block of queries with
+the shard are one product of matrices in double precision, of which a query reads those of its
+candidates.  Shards meet the queries in blocks of fixed size, so no task grows with either side.
 
 Equal vectors are one node of the index with its smallest ids, of which a query can need
 no more than k + 1; so copies cost nothing and none is lost.
@@ -18,8 +20,8 @@ this kind.  ``SHARE`` is set for that case.
 
 Defined cases: vectors that are null, zero, of another than the most frequent length, or
 hold nulls or non-finite components take no part, nor do null ids; ties go to the smaller
-id; repeated rows count once; with fewer candidates than k all are returned, but for those
-that no prefix reached; an empty table gives an empty result; other columns are not read.
+id; repeated rows count once; with fewer candidates than k all are returned; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ K = 20
 TREES = 24
 BITS = 24
 SHARE = 1.2
+LEAST = 256
 SHARD = 8192
 BLOCK = 4096
 SEED = 7
@@ -50,8 +53,10 @@ def codes(x: np.ndarray, p: np.ndarray, trees: int, bits: int) -> np.ndarray:
     return (on @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).T
 
 
-def search(ids: np.ndarray, x: np.ndarray, q: np.ndarray, norm: float, k: int, share: float, trees: int = TREES, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and inner products of its best ``k`` among the candidates of one shard."""
+def search(
+    ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray, norm: float, k: int, share: float, least: int = LEAST, trees: int = TREES, bits: int = BITS
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query, of node ``asked``, the ids and inner products of its best ``k`` among the candidates of one shard."""
     p = planes(x.shape[1] + 1, trees, bits)
     rest = np.sqrt(np.maximum(norm * norm - (x * x).sum(1), 0))
     of_x, of_q = codes(np.c_[x, rest], p, trees, bits), codes(np.c_[q, np.zeros(len(q))], p, trees, bits)
@@ -63,17 +68,28 @@ def search(ids: np.ndarray, x: np.ndarray, q: np.ndarray, norm: float, k: int, s
             first = of_q[t] >> (bits - length) << (bits - length)
             low[length, t] = np.searchsorted(arrays[t], first)
             high[length, t] = np.searchsorted(arrays[t], first + (1 << (bits - length)))
-    matches = (high - low).sum(1)
-    enough = matches >= min(share * len(x), trees * len(x))
+    by_id = np.argsort(ids)
+    own = by_id[np.minimum(np.searchsorted(ids, asked, sorter=by_id), len(ids) - 1)]
+    here = ids[own] == asked  # the query's own node lies in one of the shards
+    others = len(x) - here
+    shift = np.arange(bits, -1, -1)[:, None, None]
+    of_own = ((of_x[:, own] >> shift == of_q >> shift) & here).sum(1)
+    matches = (high - low).sum(1) - of_own
+    enough = matches >= np.minimum(share * len(x), trees * others)
     depth = bits - np.argmax(enough[::-1], 0)  # the longest length with enough matches; at length 0 all match
     out = []
     for at in range(0, len(q), 256):
         scores = q[at : at + 256] @ x.T
         for i, s in enumerate(scores, at):
             seen = np.zeros(len(x), bool)
-            for t in range(trees):
-                seen[order[t, low[depth[i], t, i] : high[depth[i], t, i]]] = True
-            found = np.flatnonzero(seen)
+            for length in range(depth[i], -1, -1):
+                for t in range(trees):
+                    seen[order[t, low[length, t, i] : high[length, t, i]]] = True
+                if here[i]:
+                    seen[own[i]] = True
+                found = np.flatnonzero(seen)
+                if len(found) - here[i] >= min(max(least, k), others[i]):
+                    break
             s = s[found]
             if len(found) > k:
                 keep = s >= np.partition(s, len(s) - k)[len(s) - k]
@@ -114,7 +130,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHA
     def run(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if items.empty or queries.empty:
             return pd.DataFrame({"asked": [], "node": [], "score": []}).astype({"asked": "int64", "node": "int64"})
-        got = search(items.node.to_numpy(), np.stack(items.x.to_numpy()), np.stack(queries.y.to_numpy()), most, k + 1, share)
+        got = search(items.node.to_numpy(), np.stack(items.x.to_numpy()), queries.asked.to_numpy(), np.stack(queries.y.to_numpy()), most, k + 1, share)
         return pd.DataFrame(
             {"asked": np.repeat(queries.asked.to_numpy(), [len(i) for i, _ in got]), "node": np.concatenate([i for i, _ in got]), "score": np.concatenate([s for _, s in got])}
         )
