@@ -4,8 +4,8 @@ A global histogram of lengths is gathered first: exact up to 128 tokens, then 64
 octave, so that it has some hundred rows whatever the corpus.  Dynamic programming over
 it chooses the bucket boundaries, each the greatest length in some bin, for which padding
 every document to its bucket's boundary wastes the fewest tokens.  Inside each bucket the
-documents, in a hashed order, form batches of as many as the token budget allows at the
-padded length.
+documents, in a hashed order or by a given position, form batches of as many as the token
+budget allows at the padded length.
 
 The length of a text is estimated as a token for every four UTF-8 bytes, unless a length
 column is given.  A bucket may hold most rows; rows are therefore numbered in two steps.
@@ -18,6 +18,7 @@ a place; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from vocalith.llm.common import running_total, settle, utf8_bytes
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
 PARTS = 1024
+STRETCH = 1 << 16
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -64,19 +66,44 @@ def boundaries(longest: list[int], n: list[int], total: list[int], buckets: int
     return ends[::-1]
 
 
+def stored_position(docs: DataFrame) -> Column:
+    """The place of each row in the order in which ``docs`` was written, or, if it is not read from files, in which it comes.
+
+    Spark reads files in an order of its own, so the number in a part file's name and the row's number in the file are taken.
+    """
+    try:
+        file, row = docs.metadataColumn("_metadata")["file_name"], docs.metadataColumn("_metadata")["row_index"]
+        docs.select(file, row)
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    number = F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("long")
+    return F.shiftleft(F.coalesce(number, F.lit(0)), 33) + row
+
+
 def pack(
-    docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, parts: int = PARTS
+    docs: DataFrame,
+    length: Column | None = None,
+    buckets: int = BUCKETS,
+    token_budget: int = TOKEN_BUDGET,
+    parts: int = PARTS,
+    position: Column | None = None,
+    stretch: int = STRETCH,
 ) -> DataFrame:
-    """doc_id, n_tokens, bucket, pad_to, batch (in its bucket) and place (in its batch) of every row."""
+    """doc_id, n_tokens, bucket, pad_to, batch (in its bucket) and place (in its batch) of every row.
+
+    With a ``position`` (a long, rows being numbered in ``stretch`` of it at a time) it orders a bucket's rows.
+    """
     length = estimated_tokens(F.col("text")) if length is None else length
-    rows = settle(docs.select("doc_id", length.cast("long").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("_hash")))
+    at = F.lit(0).cast("long") if position is None else position
+    rows = settle(docs.select("doc_id", length.cast("long").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("_hash"), at.alias("_at")))
     bins = histogram(rows).orderBy("longest").collect()  # some hundred rows, see above
     ends = boundaries([b.longest for b in bins], [b.n for b in bins], [b.total for b in bins], buckets) or [0]
     bucket = sum((F.when(F.col("n_tokens") > e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
     pad_to = F.lit(ends[-1])
     for e in reversed(ends[:-1]):
         pad_to = F.when(F.col("n_tokens") <= e, F.lit(e)).otherwise(pad_to)
-    df = rows.withColumns({"bucket": bucket, "pad_to": pad_to.cast("long"), "_part": F.pmod("_hash", F.lit(parts))})
-    df = running_total(df, ["bucket"], "_part", [F.col("_hash"), F.col("doc_id"), F.col("n_tokens")], F.lit(1), "_before")
+    part = F.pmod("_hash", F.lit(parts)) if position is None else F.floor(F.col("_at") / F.lit(stretch))
+    df = rows.withColumns({"bucket": bucket, "pad_to": pad_to.cast("long"), "_part": part})
+    df = running_total(df, ["bucket"], "_part", [F.col("_at"), F.col("_hash"), F.col("doc_id"), F.col("n_tokens")], F.lit(1), "_before")
     per = F.greatest(F.floor(F.lit(token_budget) / F.greatest(F.col("pad_to"), F.lit(1))), F.lit(1))
     return df.select("doc_id", "n_tokens", "bucket", "pad_to", F.floor(F.col("_before") / per).cast("long").alias("batch"), F.pmod("_before", per).cast("int").alias("place"))
