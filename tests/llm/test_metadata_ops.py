@@ -105,6 +105,20 @@ def test_mixed_plan(which, request):
     assert mixing.plan(table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("period", [None, 32])
+def test_more_sources_than_slots(spark, period):
+    rows = [(i, "x" * (400 if i % 2100 == 0 else 30), "en", f"s{i % 2100}", 0, "x", 1) for i in range(4200)]
+    rows += [(10_000 + i, "y" * 900, "en", "s0", 0, "x", 1) for i in range(200)]
+    got = mixing.plan(spark.createDataFrame(rows, DOCS), block_bytes=100, period=period, parts=3).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter((r[0], r[3]) for r in rows)
+    units = {r.source: r.units for r in got}
+    assert len(units) == 2100 and min(units.values()) >= 1 and max(units.values()) == units["s0"] > 10
+    full = mixing.fitting_period(2100, period)
+    assert sum(units.values()) == full >= 8 * 2100 and full % (period or mixing.PERIOD) == 0
+    assert all(r.release_slot <= r.slot < r.deadline_slot and r.release_slot == floor(r.block * full / r.units) for r in got)
+    assert len({(r.source, r.block) for r in got}) == len({r.slot for r in got})
+
+
 def test_mixed_rows_keep_columns_and_order(odd):
     mixed = mixing.mix(odd, block_bytes=500, period=32, parts=3)
     assert mixed.columns == odd.columns

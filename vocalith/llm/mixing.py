@@ -7,7 +7,12 @@ ceil((i + 1) * period / units).  Earliest deadline first over these windows meet
 deadline, so that in any prefix of slots each source has had its share to within less than
 one block.  The plan repeats after ``period`` slots, so it is laid out once, for one
 period, by a fold over its slots, and joined to the blocks; its size depends on the number
-of sources and the period and not on the rows.
+of sources and the period and not on the rows.  Sources of as many units take turns in the
+order of their numbers, so the fold looks at each number of units that occurs and not at
+each source; these are at most sqrt(2 * period).
+
+The period is ``PERIOD`` or the multiple of it that has ``SLOTS`` slots or more a source.
+A period given with more sources than slots is raised to such a multiple of itself.
 
 Targets are rounded to units by largest remainder, each source having one at least.
 Nothing is dropped or repeated: where a source ends, its later slots stay empty.
@@ -27,6 +32,8 @@ from vocalith.llm.common import running_total, settle, utf8_bytes
 
 BLOCK_BYTES = 1 << 20
 PERIOD = 1024
+SLOTS = 16
+STRETCH = 1024
 TEMPERATURE = 0.7
 PARTS = 1024
 
@@ -49,39 +56,55 @@ def units(weights: DataFrame, period: int = PERIOD) -> DataFrame:
     return df.select("source", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_first())) - 1).alias("i"), "units")
 
 
+def fitting_period(sources: int, period: int | None = None) -> int:
+    """The period for so many sources, see above."""
+    if period is not None and sources <= period:
+        return period
+    period = period or PERIOD
+    return period * max(1, -(-SLOTS * sources // period))
+
+
 def layout(shares: DataFrame, period: int = PERIOD) -> DataFrame:
     """One period: source, units, turn (the how manieth block of the source) and slot."""
-    ordered = F.array_sort(F.collect_list(F.struct("i", "source", "units")))
-    one = shares.agg(ordered.alias("s"))
+    alike = shares.groupBy("units").agg(F.array_sort(F.collect_list("i")).alias("of"))
+    one = alike.agg(F.array_sort(F.collect_list(F.struct("units", "of"))).alias("s"))
 
     def step(state: Column, t: Column) -> Column:
         def window(x: Column, done: Column) -> Column:
-            release = F.floor(done * period / x.units)
-            deadline = F.ceil((done + 1) * period / x.units)
-            return F.when((done < x.units) & (release <= t), F.struct(deadline.alias("d"), x.i.alias("i"), done.alias("k")))
+            turn = F.floor(done / F.size(x.of))
+            i = F.get(x.of, F.pmod(done, F.size(x.of)).cast("int"))
+            release = F.floor(turn * period / x.units)
+            deadline = F.ceil((turn + 1) * period / x.units)
+            return F.when((turn < x.units) & (release <= t), F.struct(deadline.alias("d"), i.alias("i"), turn.cast("int").alias("k"), x.units.alias("u")))
 
         best = F.array_min(F.filter(F.zip_with(F.col("s"), state.done, window), lambda x: x.isNotNull()))
         return F.transform(
             F.array(best),
             lambda b: F.struct(
-                F.transform(state.done, lambda n, j: F.when(j == b.i, n + 1).otherwise(n)).alias("done"),
+                F.zip_with(F.col("s"), state.done, lambda x, n: F.when(x.units == b.u, n + 1).otherwise(n)).alias("done"),
                 F.concat(state.plan, F.array(F.struct(b.i.alias("i"), b.k.alias("turn"), t.alias("slot")))).alias("plan"),
             ),
         )[0]
 
-    start = F.struct(
-        F.transform(F.col("s"), lambda x: F.lit(0)).alias("done"),
-        F.array().cast("array<struct<i:int,turn:int,slot:int>>").alias("plan"),
-    )
+    none = F.array().cast("array<struct<i:int,turn:int,slot:int>>").alias("plan")
+
+    def stretch(state: Column, first: Column) -> Column:
+        """``STRETCH`` slots, put to the plan at once."""
+        slots = F.sequence(first, F.least(first + STRETCH, F.lit(period)) - 1)
+        return F.aggregate(slots, F.struct(state.done.alias("done"), none), step, lambda x: F.struct(x.done.alias("done"), F.concat(state.plan, x.plan).alias("plan")))
+
+    start = F.struct(F.transform(F.col("s"), lambda x: F.lit(0).cast("long")).alias("done"), none)
     # Without sources there is nothing to lay out.
-    slots = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.lit(period - 1))).otherwise(F.array().cast("array<int>"))
-    laid = one.select("s", F.explode(F.aggregate(slots, start, step, lambda x: x.plan)).alias("p"))
-    return laid.select(F.get("s", F.col("p.i")).alias("x"), "p.turn", "p.slot").select("x.source", "x.units", "turn", "slot")
+    firsts = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.lit(period - 1), F.lit(STRETCH))).otherwise(F.array().cast("array<int>"))
+    laid = one.select(F.explode(F.aggregate(firsts, start, stretch, lambda x: x.plan)).alias("p"))
+    return laid.select("p.*").join(shares, "i").select("source", "units", "turn", "slot")
 
 
-def _plan(rows: DataFrame, weights: DataFrame | None, block_bytes: int, period: int, parts: int) -> DataFrame:
+def _plan(rows: DataFrame, weights: DataFrame | None, block_bytes: int, period: int | None, parts: int) -> DataFrame:
     """``rows`` (source, doc_id, _bytes, _hash and others) with the block and slot of each."""
     weights = target_weights(rows) if weights is None else weights.select("source", "weight")
+    weights = settle(weights)
+    period = fitting_period(weights.count(), period)
     shares = settle(units(weights, period))
     df = rows.withColumn("_part", F.pmod("_hash", F.lit(parts)))
     df = running_total(df, ["source"], "_part", [F.col("_hash"), F.col("doc_id"), F.col("_bytes")], F.col("_bytes"), "offset_bytes")
@@ -101,7 +124,7 @@ def _plan(rows: DataFrame, weights: DataFrame | None, block_bytes: int, period:
 
 
 def plan(
-    docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, period: int = PERIOD, parts: int = PARTS
+    docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, period: int | None = None, parts: int = PARTS
 ) -> DataFrame:
     """The block, slot, release and deadline of every document; (slot, offset_bytes) is the mixed order."""
     rows = settle(docs.select("doc_id", "source", utf8_bytes(F.col("text")).alias("_bytes"), F.xxhash64("doc_id", "text").alias("_hash")))
@@ -110,7 +133,7 @@ def plan(
 
 
 def mix(
-    docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, period: int = PERIOD, parts: int = PARTS
+    docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, period: int | None = None, parts: int = PARTS
 ) -> DataFrame:
     """The rows of ``docs`` in mixed order: by range of slot over the partitions and sorted inside them."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
