@@ -55,7 +55,7 @@ def test_copies_ties_and_unusable(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
-@pytest.mark.parametrize("distinct,copies", [(3, 1), (10, 1), (20, 1), (30, 1), (60, 1), (200, 1), (600, 1), (8, 100), (40, 10)])
+@pytest.mark.parametrize("distinct,copies", [(2, 1), (3, 1), (10, 1), (30, 1), (300, 1), (600, 1), (8, 100), (40, 10)])
 def test_small_and_copied_tables_with_the_default_share(spark, distinct, copies):
     rng = np.random.default_rng(distinct)
     x = rng.normal(size=(distinct, 64))
@@ -74,3 +74,16 @@ def test_few_vectors_of_unlike_norms(spark):
     rows = [(i, [float(v) for v in rng.normal(size=8) * (1 + i % 7)]) for i in range(30)] + [(i, [0.01] * 8) for i in range(30, 50)]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
     assert {(r.query_id, r.rank, r.vec_id) for r in got} == {(q, i, v) for q, w in brute(rows).items() for i, (v, _) in enumerate(w, 1)}
+
+
+def test_clusters_are_reached_in_part(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(100, 32))
+    rows = [(i, (centres[i % 100] + 0.1 * rng.normal(size=32)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    is_query = F.col("vec_id") % 20 == 0
+    got = neighbours.nearest(df, is_query, shard=1500, block=70).collect()
+    assert recall(got, brute(rows)) >= 0.9 and len(got) == 4000
+    reached = [r.reached for r in neighbours.nearest(df, is_query, reached=True).collect()]
+    print("reached", sum(reached) / len(reached) / len(rows))
+    assert len(reached) == 200 and sum(reached) / len(reached) < 0.25 * len(rows)
