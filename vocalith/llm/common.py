@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\f\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]+"
+#: Rows of a few numbers, so some 2 MB, up to which a side of a join is broadcast.
+BROADCAST_ROWS = 20_000
+#: A key with more than this part of all rows is hot; so there are at most as many hot keys.
+HOT = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``.  Only where none is
-    named (a local session, as in tests) a temporary folder takes its place.
+    It is the one the cluster names in ``spark.checkpoint.dir``.  Only in a local session
+    that names none, as in tests, a temporary folder takes its place.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="vocalith-"))
     return sc.getCheckpointDir()
 
@@ -36,6 +43,47 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``_id``, which tells equal rows apart and stays as it is when a task runs again, and ``_doc``, the row.
+
+    Rows straight from files are known by their file and place in it.  Other tables (if one has
+    passed through joins since it was read, settle it first) are written to the shared folder once.
+    """
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    try:
+        meta = docs.metadataColumn("_metadata")
+        return docs.select(F.struct(F.xxhash64(meta["file_path"]).alias("f"), F.hash(meta["file_path"]).alias("g"), meta["row_index"].alias("i")).alias("_id"), doc)
+    except AnalysisException:
+        number = F.struct(F.lit(0).cast("long").alias("f"), F.lit(0).alias("g"), F.monotonically_increasing_id().alias("i"))
+        return settle(docs.select(doc)).select(number.alias("_id"), "_doc")
+
+
+def by_row(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``_id`` with the settled rows of a few numbers in ``found``, which are broadcast if they are few."""
+    return rows.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "_id", how)
+
+
+def skew_join(rows: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``of``, which has a row for each key and in ``n`` how many of ``rows`` have it.
+
+    A table ``of`` of few rows is broadcast.  Otherwise the rows of hot keys meet theirs by
+    broadcast, of which there are at most ``HOT``, and only the others are shuffled, so no task
+    gets all rows of a hot key.  Both sides are read more than once and should be settled.
+    """
+    size = of.agg(F.count("*").alias("keys"), F.sum("n").alias("n")).first()
+    if size.keys <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(of.drop("n")), keys)
+    hot = F.broadcast(of.where(F.col("n") * HOT > size.n).drop("n"))
+    cold = of.where(F.col("n") * HOT <= size.n).drop("n")
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
