@@ -88,6 +88,11 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def stretches(rows: DataFrame) -> int:
+    """Into how many parts a group of the settled ``rows`` is split by hash, so that a part holds a million or so at most."""
+    return max(1024, -(-rows.count() // (1 << 20)))
+
+
 def running_total(
     df: DataFrame, group: list[str], part: str, order: list[Column], value: Column, out: str
 ) -> DataFrame:

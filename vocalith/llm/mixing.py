@@ -28,14 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocalith.llm.common import running_total, settle, utf8_bytes
+from vocalith.llm.common import by_row, identified, running_total, settle, stretches, utf8_bytes
 
 BLOCK_BYTES = 1 << 20
 PERIOD = 1024
 SLOTS = 16
 STRETCH = 1024
 TEMPERATURE = 0.7
-PARTS = 1024
+PART_BYTES = 64 << 20
+SLOT_RUN = 4096
 
 
 def target_weights(sized: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
@@ -100,13 +101,13 @@ def layout(shares: DataFrame, period: int = PERIOD) -> DataFrame:
     return laid.select("p.*").join(shares, "i").select("source", "units", "turn", "slot")
 
 
-def _plan(rows: DataFrame, weights: DataFrame | None, block_bytes: int, period: int | None, parts: int) -> DataFrame:
-    """``rows`` (source, doc_id, _bytes, _hash and others) with the block and slot of each."""
+def _plan(rows: DataFrame, weights: DataFrame | None, block_bytes: int, period: int | None, parts: int | None) -> DataFrame:
+    """The settled ``rows`` (source, doc_id, _bytes, _hash and others) with the block and slot of each."""
     weights = target_weights(rows) if weights is None else weights.select("source", "weight")
     weights = settle(weights)
     period = fitting_period(weights.count(), period)
     shares = settle(units(weights, period))
-    df = rows.withColumn("_part", F.pmod("_hash", F.lit(parts)))
+    df = rows.withColumn("_part", F.pmod("_hash", F.lit(parts or stretches(rows))))
     df = running_total(df, ["source"], "_part", [F.col("_hash"), F.col("doc_id"), F.col("_bytes")], F.col("_bytes"), "offset_bytes")
     df = df.withColumn("block", F.floor(F.col("offset_bytes") / F.lit(block_bytes)).cast("long"))
     s = shares.select(F.col("source").alias("_s"), "units")
@@ -124,7 +125,7 @@ def _plan(rows: DataFrame, weights: DataFrame | None, block_bytes: int, period:
 
 
 def plan(
-    docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, period: int | None = None, parts: int = PARTS
+    docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, period: int | None = None, parts: int | None = None
 ) -> DataFrame:
     """The block, slot, release and deadline of every document; (slot, offset_bytes) is the mixed order."""
     rows = settle(docs.select("doc_id", "source", utf8_bytes(F.col("text")).alias("_bytes"), F.xxhash64("doc_id", "text").alias("_hash")))
@@ -133,12 +134,21 @@ def plan(
 
 
 def mix(
-    docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, period: int | None = None, parts: int = PARTS
+    docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, period: int | None = None, parts: int | None = None, part_bytes: int = PART_BYTES
 ) -> DataFrame:
-    """The rows of ``docs`` in mixed order: by range of slot over the partitions and sorted inside them."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select("doc_id", "source", utf8_bytes(F.col("text")).alias("_bytes"), F.xxhash64("doc_id", "text").alias("_hash"), row)
-    if weights is None:
-        weights = target_weights(docs.select("source", utf8_bytes(F.col("text")).alias("_bytes")))
-    mixed = _plan(rows, weights, block_bytes, period, parts).select("slot", "offset_bytes", "_row")
-    return mixed.repartitionByRange("slot", "offset_bytes").sortWithinPartitions("slot", "offset_bytes").select("_row.*")
+    """The rows of ``docs`` in mixed order: by range of slot over the partitions and sorted inside them.
+
+    Only ids and sizes are planned.  The slots' bytes, summed up, give each row its partition of
+    some ``PART_BYTES``, so texts are not sampled for ranges; they are shuffled by row (unless the
+    plan is small enough to be broadcast) and then by partition.
+    """
+    rows = identified(docs)
+    text = F.col("_doc.text")
+    narrow = rows.select("_id", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.source").alias("source"), utf8_bytes(text).alias("_bytes"), F.xxhash64("_doc.doc_id", text).alias("_hash"))
+    placed = settle(_plan(settle(narrow), weights, block_bytes, period, parts).select("_id", "slot", "offset_bytes", "_bytes"))
+    slots = placed.groupBy("slot").agg(F.sum(F.col("_bytes") + 64).alias("b")).withColumn("_run", F.floor(F.col("slot") / SLOT_RUN))
+    slots = running_total(slots, [], "_run", [F.col("slot")], F.col("b"), "before").select("slot", F.floor(F.col("before") / F.lit(part_bytes)).cast("int").alias("part"))
+    found = settle(placed.join(slots, "slot").select("_id", "slot", "offset_bytes", "part"))
+    last = found.agg(F.max("part")).first()[0] or 0
+    mixed = by_row(rows, found).repartitionById(last + 1, F.col("part"))
+    return mixed.sortWithinPartitions("slot", "offset_bytes").select("_doc.*")

@@ -22,11 +22,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocalith.llm.common import running_total, settle, utf8_bytes
+from vocalith.llm.common import running_total, settle, stretches, utf8_bytes
 
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
-PARTS = 1024
 STRETCH = 1 << 16
 
 
@@ -85,7 +84,7 @@ def pack(
     length: Column | None = None,
     buckets: int = BUCKETS,
     token_budget: int = TOKEN_BUDGET,
-    parts: int = PARTS,
+    parts: int | None = None,
     position: Column | None = None,
     stretch: int = STRETCH,
 ) -> DataFrame:
@@ -102,7 +101,7 @@ def pack(
     pad_to = F.lit(ends[-1])
     for e in reversed(ends[:-1]):
         pad_to = F.when(F.col("n_tokens") <= e, F.lit(e)).otherwise(pad_to)
-    part = F.pmod("_hash", F.lit(parts)) if position is None else F.floor(F.col("_at") / F.lit(stretch))
+    part = F.pmod("_hash", F.lit(parts or stretches(rows))) if position is None else F.floor(F.col("_at") / F.lit(stretch))
     df = rows.withColumns({"bucket": bucket, "pad_to": pad_to.cast("long"), "_part": part})
     df = running_total(df, ["bucket"], "_part", [F.col("_at"), F.col("_hash"), F.col("doc_id"), F.col("n_tokens")], F.lit(1), "_before")
     per = F.greatest(F.floor(F.lit(token_budget) / F.greatest(F.col("pad_to"), F.lit(1))), F.lit(1))

@@ -25,7 +25,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocalith.llm.common import running_total, settle, utf8_bytes
+from vocalith.llm.common import running_total, settle, stretches, utf8_bytes
 
 SHARDS = 40
 ROW_BYTES = 16
@@ -33,7 +33,6 @@ TIE_BITS = 38
 CODE_BITS = 24
 BINS = 1024
 TOLERANCE = 0.002
-PARTS = 256
 
 
 def hashed(value: Column) -> Column:
@@ -141,6 +140,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None
     rows = settle(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), keys.alias("keys"), tie.alias("tie")))
     if target_bytes is not None:
         shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
-    df = tree(rows, shards, len(codes)).withColumn("_part", F.pmod("tie", F.lit(PARTS)))
+    df = tree(rows, shards, len(codes)).withColumn("_part", F.pmod("tie", F.lit(stretches(rows))))
     df = running_total(df, ["shard"], "_part", [F.col("tie"), F.col("doc_id"), F.col("text_crc32")], F.lit(1).cast("long"), "slot")
     return df.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
