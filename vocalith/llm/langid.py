@@ -12,9 +12,11 @@ The last three are learnt from the table itself: every page hands its text poste
 grouped sums by declared language, suffix, domain and host, and what it reads back of its
 host, domain, declaration and suffix leaves its own share out.
 
-The trigram models come from about ``SAMPLE_ROWS`` labelled documents and the ``GRAMS`` most
-frequent trigrams of each language; this bounds what the driver and the tasks hold.  Pages
-are read whole.
+The trigram models come from about ``LANGUAGE_ROWS`` labelled documents of each language, so
+that a rare one has the model it would have in a small table, and from the ``GRAMS`` most
+frequent trigrams of each language; all others count together.  There is no limit to the
+languages; a model holds at most 4 * ``GRAMS`` numbers for each.  Pages are read whole, in
+time in proportion to their length.
 
 Defined cases: a null html or url is empty; pages without text have a flat likelihood and
 rest on the other evidence; a null page_id is kept; ties go to the language that sorts
@@ -35,19 +37,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocalith.llm.common import settle
+from vocalith.llm.common import settle, skew_join
 
-SAMPLE_ROWS = 20_000
+LANGUAGE_ROWS = 5_000
 GRAMS = 3_000
-LANGUAGES = 64
 TEXT_EVIDENCE = 60
 HOST_WEIGHT, DOMAIN_WEIGHT = 5.0, 20.0
 SMOOTH = 0.5
 
 
 def visible(html: str) -> str:
+    """The text outside of tags; a ``<`` that no ``>`` follows before the next ``<`` is text."""
     html = re.sub(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", " ", html)
-    return unescape(re.sub(r"<[^>]*>", " ", html))
+    # Numbers beyond all code points; the standard library refuses those of very many digits.
+    return unescape(re.sub(r"&#[0-9]{8,};?", " ", re.sub(r"<[^<>]*>", " ", html)))
 
 
 def grams(text: str) -> Counter:
@@ -58,18 +61,31 @@ def grams(text: str) -> Counter:
 
 @dataclass(frozen=True)
 class Model:
+    """log P(trigram | language): ``others`` for trigrams that have no entry in a language, and what entries add to it.
+
+    The entries of trigram i are ``start[i]`` to ``start[i + 1]``.
+    """
+
     languages: tuple[str, ...]
     grams: tuple[str, ...]
-    logs: np.ndarray  # a row for each trigram, and one more for all others
+    start: np.ndarray
+    language: np.ndarray
+    adds: np.ndarray
+    unseen: np.ndarray  # for trigrams with entries in other languages only
+    others: np.ndarray  # for trigrams without entries
 
     def likelihood(self, text: str) -> np.ndarray:
-        at = self.index()
-        seen = grams(text)
+        at, seen = self.index(), grams(text)
         total = sum(seen.values())
         if not total:
             return np.zeros(len(self.languages))
-        rows = np.fromiter((at.get(g, len(self.grams)) for g in seen), np.int64, len(seen))
-        ll = np.fromiter(seen.values(), np.float64, len(seen)) @ self.logs[rows]
+        known = [(at[g], n) for g, n in seen.items() if g in at]
+        ll = self.unseen * sum(n for _, n in known) + self.others * (total - sum(n for _, n in known))
+        if known:
+            rows, n = np.array(known).T
+            sizes = self.start[rows + 1] - self.start[rows]
+            entries = np.repeat(self.start[rows] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+            ll = ll + np.bincount(self.language[entries], self.adds[entries] * np.repeat(n, sizes), len(self.languages))
         return (ll - ll.max()) * min(1.0, TEXT_EVIDENCE / total)
 
     def index(self) -> dict[str, int]:
@@ -78,32 +94,41 @@ class Model:
         return self.__dict__["_at"]
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    labelled = docs.where("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return None
-    languages = tuple(sorted(r.lang for r in sizes))
-    share = min(1.0, sample_rows / sum(r["count"] for r in sizes))
-    some = labelled.where(F.col("lang").isin(list(languages)) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        by: dict[str, Counter] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            by.setdefault(lang, Counter()).update(grams(text.as_py()))
+        for lang, c in by.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["lang", "gram", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            by: dict[str, Counter] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                by.setdefault(lang, Counter()).update(grams(text.as_py()))
-            for lang, c in by.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["lang", "gram", "n"])
 
-    sums = some.select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def train(docs: DataFrame, language_rows: int = LANGUAGE_ROWS) -> Model | None:
+    labelled = docs.where("lang is not null and text is not null")
+    sizes = settle(labelled.groupBy("lang").agg(F.count("*").alias("rows")))
+    share = F.least(F.lit(1.0), F.lit(float(language_rows)) / F.col("rows")) * float(1 << 53)
+    mine = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11)
+    some = labelled.select("lang", "text", mine.alias("h")).join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").where("h < share")
+    sums = some.select("lang", "text").mapInArrow(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    sums = settle(sums.withColumn("r", best).where(F.col("r") <= 4 * GRAMS))
-    named = {r.gram for r in sums.where(F.col("r") <= GRAMS).select("gram").distinct().collect()}
-    index = {g: i for i, g in enumerate(sorted(named))}
-    counts = np.full((len(index) + 1, len(languages)), SMOOTH)
-    for r in sums.collect():  # at most 4 * GRAMS rows a language
-        counts[index.get(r.gram, len(index)), languages.index(r.lang)] += r.n
-    return Model(languages, tuple(index), np.log(counts / counts.sum(0)))
+    sums = settle(sums.withColumn("r", best))
+    totals = {r.lang: r.n for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = tuple(sorted(r.lang for r in sizes.collect()))  # a row for each label that there is
+    if not languages:
+        return None
+    named = sums.where(F.col("r") <= GRAMS).select("gram").distinct()
+    rows = sums.where(F.col("r") <= 4 * GRAMS).join(named, "gram").orderBy("gram", "lang").select("gram", "lang", "n").collect()  # at most 4 * GRAMS a language
+    names = sorted({r.gram for r in rows})
+    at, of = {g: i for i, g in enumerate(names)}, {x: i for i, x in enumerate(languages)}
+    gram, lang = (np.array([d[r[c]] for r in rows], np.int64) for d, c in ((at, "gram"), (of, "lang")))
+    n = np.array([r.n for r in rows], np.float64)
+    total = np.array([totals.get(x, 0) for x in languages], np.float64)
+    rest = total - np.bincount(lang, n, len(languages))  # all that has no entry counts with the others
+    mass = np.log(total + SMOOTH * (len(names) + 1))
+    order = np.argsort(gram, kind="stable")
+    start = np.r_[0, np.cumsum(np.bincount(gram, minlength=len(names)))]
+    adds = np.log((n + SMOOTH) / SMOOTH)[order]
+    return Model(languages, tuple(names), start, lang[order], adds, np.log(SMOOTH) - mass, np.log(rest + SMOOTH) - mass)
 
 
 def host_of(url: Column) -> Column:
@@ -111,7 +136,7 @@ def host_of(url: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    return F.regexp_extract(host, r"([^.]*\.[^.]*\.[^.]*|[^.]*\.[^.]*|[^.]*)$", 1)
+    return F.substring_index(host, ".", -3)
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -119,15 +144,16 @@ def _add(a: Column, b: Column) -> Column:
 
 
 def _sums(df: DataFrame, keys: list[str], languages: int, out: str) -> DataFrame:
-    """The summed text posteriors of each group, as an array."""
+    """The summed text posteriors of each group, as an array, and its rows ``n``."""
     each = [F.sum(F.get("post", F.lit(i))).alias(f"_{i}") for i in range(languages)]
-    return df.groupBy(*keys).agg(*each).select(*keys, F.array(*[f"_{i}" for i in range(languages)]).alias(out))
+    rows = F.sum("n") if "n" in df.columns else F.count("*")
+    return df.groupBy(*keys).agg(*each, rows.alias("n")).select(*keys, F.array(*[f"_{i}" for i in range(languages)]).alias(out), "n")
 
 
 def identify(pages: DataFrame, model: Model | None) -> DataFrame:
     """page_id, lang, posterior, text_lang, declared, suffix and host of every page."""
     url, html = F.coalesce(F.col("url"), F.lit("")), F.coalesce(F.col("html"), F.lit(""))
-    declared = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    declared = F.lower(F.regexp_extract(html, r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
     rows = pages.select("page_id", declared.alias("declared"), host_of(url).alias("host"), html.alias("html"))
     kind = pages.schema["page_id"].dataType.simpleString()
     if model is None:
@@ -146,13 +172,13 @@ def identify(pages: DataFrame, model: Model | None) -> DataFrame:
     made = settle(made.withColumns({"suffix": F.substring_index("host", ".", -1), "domain": domain_of(F.col("host"))}))
 
     hosts = settle(_sums(made, ["host", "domain", "suffix"], n, "post"))
-    domains = _sums(hosts, ["domain"], n, "of_domain")
-    suffixes = _sums(hosts, ["suffix"], n, "of_suffix")
     whole = _sums(hosts.withColumn("one", F.lit(1)), ["one"], n, "of_all").select("of_all")
-    by_declared = _sums(made, ["declared"], n, "of_declared")
+    by_declared = settle(_sums(made, ["declared"], n, "of_declared"))
+    of_hosts = hosts.drop("n")  # a domain or suffix is met by each of its hosts once
+    domains, suffixes = settle(_sums(of_hosts, ["domain"], n, "of_domain")), settle(_sums(of_hosts, ["suffix"], n, "of_suffix"))
     marks = by_declared.agg(F.count("*").alias("n_declared")).crossJoin(suffixes.agg(F.count("*").alias("n_suffix"))).crossJoin(whole)  # one row
-    near = hosts.withColumnRenamed("post", "of_host").join(domains, "domain").join(suffixes, "suffix").drop("domain").crossJoin(F.broadcast(marks))
-    df = made.drop("suffix", "domain").join(near, "host").join(by_declared, "declared")
+    near = settle(skew_join(skew_join(hosts, domains, ["domain"]), suffixes, ["suffix"]).select("host", F.col("post").alias("of_host"), "of_domain", "of_suffix", "n"))
+    df = skew_join(skew_join(made.drop("suffix", "domain"), near, ["host"]), by_declared, ["declared"]).withColumn("suffix", F.substring_index("host", ".", -1)).crossJoin(F.broadcast(marks))
 
     def share(counts: Column, own: Column, parent: Column | None, m: float) -> Column:
         """The smoothed shares of the languages without the page's own."""
