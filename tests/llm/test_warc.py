@@ -1,6 +1,9 @@
 import hashlib
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from vocalith.llm import warc
 
 ROWS = [
@@ -23,7 +26,7 @@ def test_round_trip(spark, tmp_path):
     root = f"file://{tmp_path}/a"
     made = warc.write(pages, root, shard_bytes=100_000, roll_bytes=2_000)
     files = {r.file: r for r in made.collect()}
-    assert set(files) == {f for f in os.listdir(tmp_path / "a") if f.endswith(".gz")} and not (tmp_path / "a/tmp").exists()
+    assert set(files) == {f for f in os.listdir(tmp_path / "a") if f.endswith(".gz")} and not [f for f in os.listdir(tmp_path / "a") if "tmp" in f]
     for name, r in files.items():
         data = (tmp_path / "a" / name).read_bytes()
         assert hashlib.sha256(data).hexdigest() == r.sha256 and len(data) == r.bytes
@@ -53,3 +56,49 @@ def test_threshold_and_empty(spark, tmp_path):
     assert {r.page_id: r.refers_to for r in warc.read(spark, f"file://{tmp_path}/t").collect()} == {1: None, 2: None, 3: None, 4: 3}
     warc.write(pages.limit(0), f"file://{tmp_path}/e")
     assert warc.read(spark, f"file://{tmp_path}/e").collect() == []
+
+
+@pytest.mark.parametrize("case", ["far", "none", "one", "edges"])
+def test_odd_ids_are_spread(spark, tmp_path, case):
+    """An id far from the others, only null ids, one id for all, and the smallest and greatest ids."""
+    ids = {"far": F.when(F.col("id") == 0, 1 << 40).otherwise(F.col("id")), "none": F.lit(None).cast("long"), "one": F.lit(7).cast("long"), "edges": F.when(F.col("id") == 0, F.lit(-(1 << 63))).when(F.col("id") == 1, F.lit((1 << 63) - 1)).otherwise(F.col("id"))}
+    pages = spark.range(2000).select(ids[case].alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.concat(F.lit("page "), F.floor(F.col("id") / 2)).alias("html"))
+    made = warc.write(pages, f"file://{tmp_path}/a", shard_bytes=50_000, roll_bytes=1 << 20).collect()
+    of = {}
+    for r in made:
+        of[r.shard] = of.get(r.shard, 0) + r.records
+    assert sum(of.values()) == 2000 and len(of) >= 15 and max(of.values()) < 250
+    got = warc.read(spark, f"file://{tmp_path}/a").collect()
+    assert sorted((r.page_id or 0, r.url) for r in got) == sorted((r.page_id or 0, r.url) for r in pages.collect())
+    kinds = sorted(r.record_type for r in got)
+    assert kinds.count("revisit") == (1000 if case in ("far", "edges") else 0)
+
+
+def test_shards_are_ranges_of_ids(spark, tmp_path):
+    pages = spark.range(3000).select((F.col("id") * F.col("id")).alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("x"), F.when(F.col("id") < 100, 5000).otherwise(10).cast("int")).alias("html"))
+    root = f"file://{tmp_path}/a"
+    files = warc.write(pages, root, shard_bytes=100_000, roll_bytes=1 << 20).orderBy("shard", "seq").collect()
+    last = -1
+    for f in files:
+        with warc.gzip.open(tmp_path / "a" / f.file) as stream:
+            ids = [r["page_id"] for r in warc.records(stream)]
+        assert ids == sorted(ids) and ids[0] > last
+        last = ids[-1]
+
+
+def test_a_folder_with_an_archive_is_refused(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a")], "page_id long, url string, html string")
+    warc.write(pages, f"file://{tmp_path}/a")
+    with pytest.raises(FileExistsError):
+        warc.write(pages, f"file://{tmp_path}/a")
+
+
+def test_naming_again_changes_nothing(spark, tmp_path):
+    (tmp_path / "tmp").mkdir()
+    (tmp_path / "tmp/f.9").write_bytes(b"x")
+    rows = [warc.pa.RecordBatch.from_pylist([{"file": "f", "made": "f.9"}])]
+    for _ in range(2):
+        assert list(warc._named(f"file://{tmp_path}", f"file://{tmp_path}/tmp")(rows)) == rows
+    assert (tmp_path / "f").read_bytes() == b"x"
+    with pytest.raises(OSError):
+        list(warc._named(f"file://{tmp_path}", f"file://{tmp_path}/tmp")([warc.pa.RecordBatch.from_pylist([{"file": "g", "made": "g.1"}])]))
