@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from vocalith.llm import toxicity
 
@@ -54,3 +55,28 @@ def test_stretches():
     assert toxicity._stretches(b"x", told) == []
     telling = set(toxicity.groups(b"moronic")[:2])
     assert toxicity._stretches(b"moronic", telling) == [b" moroni"]
+
+
+def test_scores_by_brute_force(scored):
+    """Window by window, with compressors of its own, in plain Python."""
+    docs, _, model, got = scored
+    texts = {r.doc_id: r.text for r in docs.where("doc_id % 17 = 0").collect()}
+    of = dict(zip(got.doc_id, got.score, strict=True))
+
+    def size(content, data):
+        params = zstandard.ZstdCompressionParameters(
+            window_log=17, chain_log=15, hash_log=15, search_log=3, min_match=6, strategy=zstandard.STRATEGY_GREEDY,
+            write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+        )
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(data))
+
+    for i, text in texts.items():
+        words = "".join(c.lower() if c.isascii() and c.isalpha() else " " if c.isascii() else c for c in text or "").split(" ")
+        whole = (" " + " ".join(w for w in words if w) + " ").encode()
+        windows = [toxicity.CARRIER + whole[a : a + 272] for a in range(0, len(whole), 256)]
+        n, gains = len(windows), [0.0] * (len(model.dictionaries) - 1)
+        for w in windows:
+            plain, *toxic = (size(c, w) for c in model.dictionaries)
+            gains = [g + max(plain - t - limit, 0) for g, t, limit in zip(gains, toxic, model.thresholds, strict=True)]
+        x = [1.0, np.log1p(n), *np.log1p(gains), *(g / n for g in gains)]
+        assert of[i] == pytest.approx(1 / (1 + np.exp(-float(np.dot(x, model.weights)))), abs=2e-6), i
