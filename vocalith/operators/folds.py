@@ -1,79 +1,111 @@
 """State carried over the ordered rows of a key.
 
-A key's rows are brought to one task in order and streamed through with the key's state;
-only the state is held, so a key may have any number of rows.  Other keys of the task
-follow one after the other.
+A key's rows are brought to one task in order and streamed through, a stretch of a batch at
+a time, with the key's state; only the state is held, so a key may have any number of rows.
+A stretch is worked out in whole arrays.  Other keys of the task follow one after the
+other; null is a key like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ALPHA, WARM, LEAST = 0.3, 6.25, 7
+BLOCK = 64
 
 
-def fold(df: DataFrame, key: str, order: list[str], step: Callable, outputs: str) -> DataFrame:
-    """``df`` with the columns ``outputs``: step(state or None, row) gives (state, values)."""
-    cols = df.columns
-    spec = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    names = [x.split()[0] for x in outputs.split(", ")]
+def _same(a: object, b: object) -> bool:
+    """Equality in which null equals null and NaN equals NaN."""
+    return a == b or (a is None and b is None) or (a != a and b != b)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def fold(df: DataFrame, key: str, order: list[str], needs: str, step: Callable, outputs: str) -> DataFrame:
+    """``df`` with the columns ``outputs``: step(values of ``needs`` or None, state or None) gives (arrays, state)."""
+    cols, names = df.columns, [x.split()[0] for x in outputs.split(", ")]
+    at, of = cols.index(key), cols.index(needs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(at).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1), batch.num_rows]
             made = []
-            for row in batch.itertuples(index=False):
-                now = getattr(row, key)
-                if now != last:
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                now = batch.column(at)[int(a)].as_py()
+                if not _same(now, last):
                     last, state = now, None
-                state, values = step(state, row)
-                made.append(values)
-            yield pd.concat([batch, pd.DataFrame(made, columns=names)], axis=1)
+                arrays, state = step(batch.column(of).slice(int(a), int(b - a)), state)
+                made.append(arrays)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.concat_arrays(x) for x in zip(*made, strict=True))], [*cols, *names])
 
     placed = df.repartition(key).sortWithinPartitions(key, *order)
-    return placed.mapInPandas(run, f"{spec}, {outputs}").select(*cols, *names)
+    return placed.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(outputs).fields]))
+
+
+def counted(t: np.ndarray, state: tuple[int, int] | None, window: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """The number in its window, and the end of that window, of each of the rising times ``t``; a window opens with its first request."""
+    count, reset = state or (0, None)
+    number, ends, i = np.empty(len(t), np.int64), np.empty(len(t), np.int64), 0
+    while i < len(t):
+        if reset is None or t[i] >= reset:
+            count, reset = 0, int(t[i]) + window
+        j = int(np.searchsorted(t, reset))
+        number[i:j], ends[i:j] = count + np.arange(1, j - i + 1), reset
+        count, i = count + j - i, j
+    return number, ends, (count, reset)
 
 
 def limiter(limit: int, window: int) -> Callable:
-    """A fixed window that the key's first request opens: ok, remaining and reset_at of each request at ``t``."""
+    """ok, remaining and reset_at of each request at ``t``, which is not null."""
 
-    def step(state: tuple | None, row: object) -> tuple:
-        count, reset = state if state and row.t < state[1] else (0, row.t + window)
-        count += 1
-        return (count, reset), (count <= limit, max(0, limit - count), reset)
+    def step(t: pa.Array, state: tuple | None) -> tuple:
+        number, ends, state = counted(t.to_numpy(), state, window)
+        return [pa.array(number <= limit), pa.array(np.maximum(0, limit - number)), pa.array(ends)], state
 
     return step
 
 
 def rate_limit(requests: DataFrame, key: str, order: list[str], limit: int, window: int) -> DataFrame:
-    return fold(requests, key, order, limiter(limit, window), "ok boolean, remaining long, reset_at long")
+    return fold(requests, key, order, "t", limiter(limit, window), "ok boolean, remaining long, reset_at long")
 
 
-def smoother(alpha: float = ALPHA, warm: float = WARM, least: int = LEAST) -> Callable:
-    """Exponential smoothing of ``probs`` with a warm-up; raw until ``least`` observations, then renormalized."""
+def smoothed(p: np.ndarray, state: tuple | None, alpha: float = ALPHA, warm: float = WARM, least: int = LEAST) -> tuple[np.ndarray, tuple]:
+    """Exponential smoothing of the rows of ``p`` with a warm-up; raw until ``least`` observations, then renormalized."""
+    seen, held = state or (0, np.zeros(p.shape[1]))
+    out = np.empty_like(p)
+    for at in range(0, len(p), BLOCK):
+        part = p[at : at + BLOCK]
+        k = seen + np.arange(1, len(part) + 1)
+        a = np.minimum(k / warm, 1.0) * alpha
+        decay = np.cumprod(1 - a)
+        weights = np.tril(decay[:, None] / decay[None]) * a
+        s = weights @ part + decay[:, None] * held
+        total = s.sum(1, keepdims=True)
+        out[at : at + BLOCK] = np.where((k >= least)[:, None], s / np.where(total == 0, 1.0, total), part)
+        seen, held = int(k[-1]), s[-1]
+    return out, (seen, held)
 
-    def step(state: tuple | None, row: object) -> tuple:
-        seen, held = state or (0, [0.0] * len(row.probs))
-        a = min((seen + 1) / warm, 1.0) * alpha
-        held = [a * p + (1 - a) * s for p, s in zip(row.probs, held, strict=True)]
-        total = sum(held) or 1.0
-        out = [s / total for s in held] if seen + 1 >= least else [float(p) for p in row.probs]
-        return (seen + 1, held), (out,)
 
-    return step
+def _smoother(probs: pa.Array, state: tuple | None) -> tuple:
+    out, state = smoothed(probs.flatten().to_numpy().reshape(len(probs), -1), state)
+    ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1])
+    return [pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], state
 
 
 def ema(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return fold(rows, key, order, smoother(), "smoothed array<double>")
+    """Smooths ``probs``, which has as many numbers in every row."""
+    return fold(rows, key, order, "probs", _smoother, "smoothed array<double>")
 
 
 def micro_batches(rows: DataFrame, key: str, order: list[Column], size: int = 50) -> DataFrame:
     """Rows of a key in batches of ``size`` in order."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return rows.withColumn("batch", F.floor((n - 1) / size).cast("long"))

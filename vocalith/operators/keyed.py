@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What JavaScript-like trimming removes: all Unicode white space.
@@ -65,3 +67,22 @@ def evicted(blobs: DataFrame, size: str, order: list[str], quota: float, target:
     df = blobs.withColumn("_p", part).join(F.broadcast(sums), "_p")
     held = F.lit(ends.n) - F.col("_base") - F.coalesce(F.sum(size).over(inside), F.lit(0))
     return df.withColumn("evict", F.lit(ends.n >= quota) & (held > target * quota)).drop("_p", "_base")
+
+
+def read_through(spark: SparkSession, folder: str, name: str, version: str, fetch: Callable[[], DataFrame]) -> tuple[bool, DataFrame]:
+    """Whether the artifact was there in this version, and its rows; if not, it is fetched and other versions are dropped."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root, own = path(f"{folder}/{name}"), path(f"{folder}/{name}/{version}/_SUCCESS")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    hit = fs.exists(own)
+    if not hit:
+        fetch().write.mode("overwrite").parquet(f"{folder}/{name}/{version}")
+        for old in fs.listStatus(root):
+            if old.getPath().getName() != version:
+                fs.delete(old.getPath(), True)
+    return hit, spark.read.parquet(f"{folder}/{name}/{version}")
+
+
+def greatest_difference(a: DataFrame, b: DataFrame, keys: list[str], of_a: str, of_b: str) -> DataFrame:
+    """n and difference: how many keys two tables share, and how far their values are apart at most."""
+    return a.join(b, keys).agg(F.count("*").alias("n"), F.max(F.abs(F.col(of_a) - F.col(of_b))).alias("difference"))

@@ -1,50 +1,112 @@
-"""WAV clips: reading, decoding, segmentation and features, a clip to a row."""
+"""Audio clips: reading, decoding, segmentation and features, a clip to a row.
+
+All of the usual containers are accepted; WAV (PCM of 8 to 32 bits and floats) is decoded
+here, and other codecs, for which the library has no decoder, end as decode-failed.
+"""
 
 from __future__ import annotations
 
-import io
-import wave
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalith.functions import signals as G
 from vocalith.operators import segments as V
 
-EXTENSIONS = ("wav", "mp3", "m4a", "ogg", "webm")
+# What is accepted.
+EXTENSIONS = ("wav", "mp3", "m4a", "aac", "ogg", "oga", "opus", "webm", "flac")
 MOST_BYTES = 12 * 1024 * 1024
 SHORTEST_S, LONGEST_S = 0.5, 20.0
 FEATURES = "durationS double, rms double, f0Hz double, f0StartHz double, f0EndHz double, f0RangeHz double, voicedRatio double, spectralCentroidHz double, spectralFlatness double, zeroCrossingRate double, amRateHz double, amStrength double"
 CLIP = f"path string, error string, duration double, segments array<struct<start:double,end:double,energy:double,features:struct<{FEATURES.replace(' ', ':').replace(',:', ',')}>>>"
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return df.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*EXTENSIONS) & (F.col("length") <= MOST_BYTES))
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, content and error of the accepted files; those that are too large are not read and have an error instead."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    df = df.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*EXTENSIONS))
+    none = F.lit(None)
+    large = df.where(F.col("length") > MOST_BYTES).select("path", none.cast("binary").alias("content"), F.lit("audio/too-large").alias("error"))
+    return df.where(F.col("length") <= MOST_BYTES).select("path", "content", none.cast("string").alias("error")).union(large)
+
+
+def save(clips: DataFrame, folder: str) -> int:
+    """Write clips (path, content) as files to ``folder`` and return their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with fs.open_output_stream(f"{base}/{path}", compression=None) as out:
+                    out.write(content)
+            yield batch.select([0])
+
+    return clips.select("path", "content").mapInArrow(run, "path string").count()
+
+
+def _chunks(data: bytes) -> dict[bytes, bytes]:
+    out, at = {}, 12
+    while at + 8 <= len(data):
+        name, size = struct.unpack_from("<4sI", data, at)
+        out.setdefault(name, data[at + 8 : at + 8 + size])
+        at += 8 + size + size % 2
+    return out
+
+
+def samples(data: bytes) -> tuple[np.ndarray, int]:
+    """The mono samples of a WAV file, between -1 and 1, and their rate."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        raise ValueError("not a WAV file")
+    parts = _chunks(data)
+    kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", parts[b"fmt "])
+    if kind == 0xFFFE:  # the kind stands at the head of the extension's identifier
+        kind = struct.unpack_from("<H", parts[b"fmt "], 24)[0]
+    raw, width = parts[b"data"], bits // 8
+    if not channels or not rate or (kind, bits) not in {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)}:
+        raise ValueError("not a kind of samples that is known")
+    raw = raw[: len(raw) // (width * channels) * width * channels]
+    if kind == 3:
+        x = np.frombuffer(raw, f"<f{width}").astype(np.float64)
+    elif bits == 8:
+        x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+    elif bits == 24:
+        x = (np.pad(np.frombuffer(raw, np.uint8).reshape(-1, 3), ((0, 0), (1, 0))).copy().view("<i4").ravel() >> 8) / float(1 << 23)
+    else:
+        x = np.frombuffer(raw, f"<i{width}") / float(1 << (bits - 1))
+    return x.reshape(-1, channels).mean(1), rate
+
+
+def resampled(x: np.ndarray, rate: int, to: int = G.RATE) -> np.ndarray:
+    """``x`` at another rate, by its spectrum, so that nothing above half of the new rate is folded back."""
+    if rate == to or not len(x):
+        return x
+    n = int(np.ceil(len(x) * to / rate))
+    spectrum, keep = np.fft.rfft(x), min(len(x), n) // 2 + 1
+    made = np.zeros(n // 2 + 1, complex)
+    made[:keep] = spectrum[:keep]
+    return np.fft.irfft(made, n) * (n / len(x))
 
 
-def decode(data: bytes) -> tuple[np.ndarray, str | None]:
+def decode(data: bytes | None) -> tuple[np.ndarray, str | None]:
     """Mono samples at 16 kHz, or the reason why there are none."""
     try:
-        with wave.open(io.BytesIO(data)) as w:
-            rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
-            raw = w.readframes(w.getnframes())
-    except (wave.Error, EOFError):
+        x, rate = samples(data or b"")
+    except (ValueError, KeyError, struct.error):
         return np.zeros(0), "audio/decode-failed"
-    if width != 2:
+    if not np.isfinite(x).all():
         return np.zeros(0), "audio/decode-failed"
-    x = np.frombuffer(raw, "<i2").reshape(-1, channels).mean(1) / 32768
-    seconds = len(x) / rate
-    if seconds < SHORTEST_S:
-        return x, "audio/too-short"
-    if seconds > LONGEST_S:
-        return x, "audio/too-long"
-    if rate != G.RATE:
-        x = np.interp(np.arange(int(seconds * G.RATE)) * rate / G.RATE, np.arange(len(x)), x)
-    return x, None
+    if len(x) / rate < SHORTEST_S:
+        return np.zeros(0), "audio/too-short"
+    if len(x) / rate > LONGEST_S:
+        return np.zeros(0), "audio/too-long"
+    return resampled(x, rate), None
 
 
 def found(x: np.ndarray) -> list[tuple[int, int]]:
@@ -72,13 +134,13 @@ def found(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def analyze(clips: DataFrame) -> DataFrame:
-    """path, error, duration and segments (the one of most energy first, with features) of clips (path, content)."""
+    """path, error, duration and segments (the one of most energy first, with features) of clips (path, content and maybe an error)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, data in zip(batch.path, batch.content, strict=True):
-                x, error = decode(data)
+            for path, data, known in zip(batch.path, batch.content, batch.error, strict=True):
+                x, error = (np.zeros(0), known) if known else decode(data)
                 parts = []
                 if error is None:
                     top = np.abs(x).max(initial=0.0)
@@ -89,4 +151,5 @@ def analyze(clips: DataFrame) -> DataFrame:
                 rows.append((path, error, len(x) / G.RATE, made))
             yield pd.DataFrame(rows, columns=["path", "error", "duration", "segments"])
 
-    return clips.select("path", "content").mapInPandas(run, CLIP)
+    error = F.col("error") if "error" in clips.columns else F.lit(None).cast("string").alias("error")
+    return clips.select("path", "content", error).mapInPandas(run, CLIP)

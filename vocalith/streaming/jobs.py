@@ -14,13 +14,25 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vocalith.operators import folds
 
+#: How late a request may come before it is let go.
+LATEST = "1 day"
+
 
 def job_dir(spark: SparkSession, name: str) -> str:
-    """A folder that all executors share: under spark.checkpoint.dir where the cluster names it."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "vocalith")
+    """A folder that all executors share: under spark.checkpoint.dir where it is named, which only a local session may leave out."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "vocalith")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4()}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def source(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
     # As a pattern the path may be one file or a folder of files.
@@ -34,39 +46,75 @@ def finish(stream: DataFrame, folder: str, write: object, mode: str = "append")
 
 
 def limited(requests: DataFrame, limit: int, window: int) -> DataFrame:
-    """ok, remaining and reset_at of a stream of requests (user_id, event_id, t), state kept for each user.
+    """ok, remaining and reset_at of a stream of requests (user_id, event_id, t, ts), state kept for each user.
 
-    The pandas chunks of a group need not be in order; a group's rows of one micro-batch are
-    sorted before they are counted.
+    The rows of a user in one micro-batch are sorted before they are counted; requests later than
+    ``LATEST`` are let go.  A user's state ends with its window, when the watermark passes it.
     """
-    step = folds.limiter(limit, window)
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(chunks)).sort_values(["t", "event_id"])
-        made = []
-        for row in rows.itertuples(index=False):
-            held, values = step(held, row)
-            made.append((row.event_id, *values))
-        state.update(held)
-        yield pd.DataFrame(made, columns=["event_id", "ok", "remaining", "reset_at"])
-
-    return requests.groupBy("user_id").applyInPandasWithState(
-        run, "event_id long, ok boolean, remaining long, reset_at long", "count long, reset_at long", "append", GroupStateTimeout.NoTimeout
+        number, ends, held = folds.counted(rows.t.to_numpy(), state.get if state.exists else None, window)
+        if held[1] > state.getCurrentWatermarkMs():
+            state.update(held)
+            state.setTimeoutTimestamp(held[1])
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"event_id": rows.event_id.to_numpy(), "ok": number <= limit, "remaining": (limit - number).clip(0), "reset_at": ends})
+
+    return (
+        requests.withWatermark("ts", LATEST)
+        .groupBy("user_id")
+        .applyInPandasWithState(run, "event_id long, ok boolean, remaining long, reset_at long", "count long, reset_at long", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
 def rate_limits(spark: SparkSession, sf_dir: str, limit: int, window: int) -> DataFrame:
-    folder = job_dir(spark, "limits")
-    requests = source(spark, sf_dir).select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    folder, ts = job_dir(spark, "limits"), F.col("ts").cast("timestamp")
+    requests = source(spark, sf_dir).select("user_id", "event_id", F.unix_millis(ts).alias("t"), ts.alias("ts"))
     # The batch id names the folder, so a batch that runs again replaces what it wrote.
     finish(limited(requests, limit, window), folder, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
 def priors(spark: SparkSession, sf_dir: str, corrections: object) -> DataFrame:
-    """Counts of corrections by subject and class, upserted from the stream's updates."""
-    folder = job_dir(spark, "priors")
+    """Counts of corrections by subject and class, upserted from the stream's updates.
+
+    Each batch writes the table anew under its number, from the one before it, and drops the one before that.
+    """
+    folder, last = job_dir(spark, "priors"), {}
     counts = corrections(source(spark, sf_dir)).where("cls is not null").groupBy("cat_id", "cls").count()
-    finish(counts, folder, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), "update")
-    return spark.read.parquet(f"{folder}/out").groupBy("cat_id", "cls").agg(F.max_by("count", "batch").alias("n"))
+
+    def write(df: DataFrame, n: int) -> None:
+        made = df.select("cat_id", "cls", F.col("count").alias("n"))
+        if n:
+            made = made.union(df.sparkSession.read.parquet(f"{folder}/table-{n - 1}").join(df, ["cat_id", "cls"], "left_anti"))
+        made.write.mode("overwrite").parquet(f"{folder}/table-{n}")
+        remove(spark, f"{folder}/table-{n - 2}")
+        last["n"] = n
+
+    finish(counts, folder, write, "update")
+    return spark.read.parquet(f"{folder}/table-{last['n']}")
+
+
+def two_stores(spark: SparkSession, rows: DataFrame, folder: str) -> None:
+    """Write a stream of (id, session, audio) to a store of sessions and one of audio, both or neither.
+
+    Both carry the batch's number, so a batch that runs again replaces what it wrote, and a batch counts
+    only once its number is among the commits, which are written last.
+    """
+
+    def write(df: DataFrame, n: int) -> None:
+        df.select("id", "session").write.mode("overwrite").parquet(f"{folder}/sessions/batch={n}")
+        df.where("audio is not null").select("id", "audio").write.mode("overwrite").parquet(f"{folder}/audio/batch={n}")
+        spark.createDataFrame([(n,)], "batch int").write.mode("overwrite").parquet(f"{folder}/commits/{n}")
+
+    finish(rows, folder, write)
+
+
+def committed(spark: SparkSession, folder: str, store: str) -> DataFrame:
+    done = spark.read.parquet(f"{folder}/commits/*")
+    return spark.read.parquet(f"{folder}/{store}").join(F.broadcast(done), "batch", "left_semi").drop("batch")
