@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm import chat, langid, mixing, neighbours, packing, quality, sharding, simhash, toxicity, warc
-from vocalith.llm.common import table
+from vocalith.llm import chat, collocations, langid, linededup, mixing, neighbours, packing, quality, runs, sharding, simhash, toxicity, warc
+from vocalith.llm.common import WHITE_CLASS, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +92,43 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def periodic_words(docs: DataFrame) -> DataFrame:
+    """``docs`` in which the texts of one in ten are made periodic from one of their words on, as the contract of op11 has it."""
+    h, words = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.filter(F.split(F.col("text").cast("string"), WHITE_CLASS), lambda w: w != "")
+    n = F.size("_words")
+    made = docs.withColumn("_words", F.when(h % 10 == 0, words)).withColumn("_g", F.floor(h / 10))
+    a = F.when(n > 0, F.col("_g") % n)
+    made = made.withColumn("_a", a).withColumn("_p", F.lit(1) + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8)))
+    at = F.transform(F.sequence(F.lit(0).cast("long"), n - F.lit(1).cast("long")), lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")))
+    text = F.array_join(F.transform(at, lambda i: F.get("_words", i.cast("int"))), " ")
+    return made.withColumn("text", F.when((h % 10 == 0) & (n > 0), text).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = runs.collapse(docs).withColumn("best", runs.strongest(F.col("runs")))
+    line = lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))
+    return made.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = linededup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_windows": op1_chat_windows,
     "op2_warc": op2_warc,
@@ -103,6 +140,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_ledger": op8_quality_ledger,
     "op9_toxicity": op9_toxicity,
     "op10_length_buckets": op10_length_buckets,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -184,4 +224,41 @@ ORACLE_SQL: dict[str, str] = {
                fail_bits & 63 = 0 AS kept, n_lines, fail_bits
         FROM bits
     """,
+    "op12_collocations": """
+        WITH pieces AS (
+            SELECT lang, list_filter(string_split_regex(p, '[ \\t]+'), lambda x: x <> '') AS ws
+            FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)
+        ), grams AS (
+            SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+            FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k)
+        ), f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
+        n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 100),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.k, c.a, n.n, x.a AS l, y.a AS r, i,
+                   (1000::HUGEINT * c.a * n.n // (x.a::HUGEINT * y.a))::BIGINT AS score
+            FROM (SELECT *, unnest(range(1, k)) AS i FROM c) c JOIN n USING (lang)
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.i], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.i + 1:], ' ')
+        ), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+        inner_ AS (
+            SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS over
+            FROM (SELECT lang, ws, a, k, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3, 4]) AS m) WHERE m < k) GROUP BY ALL
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM best LEFT JOIN inner_ USING (lang, phrase) WHERE over IS NULL OR 100 * over < 100 * a
+        QUALIFY rank <= 2000
+    """,
+    "op13_line_dedup": """
+        WITH d AS (SELECT doc_id, row_number() OVER () AS row_, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (
+            SELECT doc_id, row_, i, lines[i] AS line,
+                   translate(trim(lines[i], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)
+        ), f AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT row_) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+        FROM l LEFT JOIN f USING (key) GROUP BY doc_id, row_
+    """,
 }
