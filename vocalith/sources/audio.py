@@ -1,7 +1,7 @@
 """Audio clips: reading, decoding, segmentation and features, a clip to a row.
 
-All of the usual containers are accepted; WAV (PCM of 8 to 32 bits and floats) is decoded
-here, and other codecs, for which the library has no decoder, end as decode-failed.
+All of the usual containers are accepted; WAV (PCM of 8 to 32 bits and floats) and FLAC are
+decoded, and other codecs, for which the library has no decoder, end as decode-failed.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from vocalith.functions import signals as G
 from vocalith.operators import segments as V
+from vocalith.sources import flac
 
 # What is accepted.
 EXTENSIONS = ("wav", "mp3", "m4a", "aac", "ogg", "oga", "opus", "webm", "flac")
@@ -61,7 +62,10 @@ def _chunks(data: bytes) -> dict[bytes, bytes]:
 
 
 def samples(data: bytes) -> tuple[np.ndarray, int]:
-    """The mono samples of a WAV file, between -1 and 1, and their rate."""
+    """The mono samples of a WAV or FLAC file, between -1 and 1, and their rate."""
+    if data[:4] == b"fLaC":
+        x, rate, bits = flac.samples(data, LONGEST_S)
+        return x.mean(1) / float(1 << (bits - 1)), rate
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     parts = _chunks(data)
