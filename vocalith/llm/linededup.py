@@ -39,8 +39,6 @@ MIN_CHARS = 1
 SHARD_KEYS = 1 << 20
 #: Probes of a cell: some 50 MB.
 CELL = 1 << 20
-#: Dropped lines, some 2 MB, up to which their places are broadcast to the texts.
-BROADCAST_LINES = 200_000
 #: Bits of a level for each hash that reaches it.
 GAMMA = 2
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -203,8 +201,6 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     loads = lines.groupBy(F.pmod("hi", F.lit(shards)).alias("shard")).agg(F.count("*").alias("n"))
     hits = probe(lines, settle(index(distinct, shards)), settle(loads), shards, min_docs, cell)
     gone = settle(hits.groupBy("_id").agg(F.collect_list("at").alias("_at")))  # of one document's lines
-    if (gone.agg(F.sum(F.size("_at"))).first()[0] or 0) <= BROADCAST_LINES:  # else the texts are shuffled by row
-        gone = F.broadcast(gone)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     of = [F.col(f"_doc.`{c}`").cast("string").alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in names]
     return _without(rows.join(gone, "_id", "left").select(*of, "_at"), names)
