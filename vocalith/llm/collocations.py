@@ -37,9 +37,9 @@ MIN_COUNT = 100
 COVER = 100
 TOP = 2000
 #: Words whose suffixes a task sorts together.
-CHUNK = 1 << 20
-#: Different suffixes, some 100 MB, that a task sorts together after routing.
-ROUTE_ROWS = 1 << 19
+CHUNK = 1 << 18
+#: Different suffixes, some 100 MB while they are sorted, that a task sorts together after routing.
+ROUTE_ROWS = 1 << 18
 FILTER_BITS = 1 << 24
 ODD = np.uint64(0x9E3779B97F4A7C15)
 STOP = b"."
