@@ -1,6 +1,10 @@
 import random
 
+from pyspark.sql import functions as F
+
 from vocalith.llm import similar
+from vocalith.llm.common import identified, settle
+from vocalith.llm.simhash import components
 
 WORDS = [f"w{i}" for i in range(5000)]
 
@@ -30,3 +34,39 @@ def test_near_copies_go_and_others_stay(spark):
     rows += [(i, " ".join(rng.choices(WORDS, k=100))) for i in range(300, 310)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == [10, 200, 202, *range(300, 310)]
+
+
+def groups_of(texts):
+    sets = {i: set(similar.shingles(t).tolist()) for i, t in texts.items()}
+    groups = []
+    for i in sorted(sets):
+        near = [g for g in groups if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in g)]
+        for g in near:
+            groups.remove(g)
+        groups.append({i}.union(*near))
+    return groups
+
+
+def test_partly_similar_copies_meet_few_others(spark):
+    """Copies of one text with changes of their own, of whose pairs some are similar: groups are exact and no pair is compared twice."""
+    rng = random.Random(400)
+    base = rng.choices(WORDS, k=200)
+    texts = {i: " ".join(changed(rng, base, rng.choice([2, 3]))) for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = identified(docs)
+    made = settle(similar.fingerprints(rows.select("_id", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))))
+    fps = settle(made.select(F.struct("doc_id", "_id").alias("best"), "sig", "size", "keys", F.col("doc_id").alias("id")))
+    found, tested = similar.similar_pairs(fps, rows)
+    pairs = [tuple(r) for r in tested.collect()]
+    assert len(pairs) == len(set(pairs)) < 30 * len(texts) and all(u < v for u, v in pairs)
+    sets = {i: set(similar.shingles(t).tolist()) for i, t in texts.items()}
+    assert all(len(sets[r.u] & sets[r.v]) >= 0.8 * len(sets[r.u] | sets[r.v]) for r in found.collect())
+    want = {i: min(g) for g in groups_of(texts) for i in g}
+    got = {r.node: r.component for r in components(found).collect()}
+    assert {i: got.get(i, i) for i in texts} == want and len(set(want.values())) < len(texts)
+
+
+def test_groups_of_the_small_table_are_exact(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = sorted(r.doc_id for r in similar.keep_one(docs).select("doc_id").collect())
+    assert kept == sorted(min(g) for g in groups_of({r.doc_id: r.text for r in docs.collect()}))

@@ -43,6 +43,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the file system that the driver takes it to be on, so that executors write to the same one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
+def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write ``df`` as a table in ``folder`` and go on from it.
+
+    Unlike a settled table it keeps nothing of how its plan was partitioned, which rounds of joins would multiply.
+    """
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the shared file system, if it is there."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
