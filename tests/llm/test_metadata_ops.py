@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vocalith.llm import mixing, packing, quality, sharding
+from vocalith.llm.common import settle
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, slot string, bucket int"
 ODD = [
@@ -57,6 +58,46 @@ def test_shards(which, request):
     assert sharding.shard(table.limit(0)).collect() == []
 
 
+def test_equal_rows_are_spread(spark):
+    same = spark.range(400).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("a").alias("lang"), F.lit("b").alias("source"))
+    assert Counter(Counter(r.shard for r in sharding.shard(same).collect()).values()) == {10: 40}
+
+
+def test_the_tree_splits_at_weighted_medians(spark):
+    """Against a plain k-d tree over distinct codes: each node is split along its widest dimension where its bytes are in proportion."""
+    import random
+
+    rng = random.Random(5)
+    points = [tuple(rng.randrange(1 << sharding.CODE_BITS) for _ in range(3)) for _ in range(120)]
+    sizes = [rng.randrange(1, 500) for _ in points]
+    rows = spark.createDataFrame([([c << sharding.TIE_BITS for c in p], s, i) for i, (p, s) in enumerate(zip(points, sizes, strict=True))], "keys array<long>, size long, i int")
+    got = defaultdict(set)
+    for r in sharding.tree(settle(rows), 7, 3).collect():
+        got[r.shard].add(r.i)
+    span = [max(p[d] for p in points) - min(p[d] for p in points) for d in range(3)]
+
+    def split(ids, k):
+        if k == 1:
+            return [set(ids)]
+        d = max(range(3), key=lambda d: (max(points[i][d] for i in ids) - min(points[i][d] for i in ids)) / span[d])
+        ids, total, best = sorted(ids, key=lambda i: points[i][d]), sum(sizes[i] for i in ids), None
+        for n in range(1, len(ids)):
+            off = abs(sum(sizes[i] for i in ids[:n]) - total * (k // 2) / k)
+            if best is None or off < best[0]:
+                best = off, n
+        return split(ids[: best[1]], k // 2) + split(ids[best[1] :], k - k // 2)
+
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, split(range(120), 7)))
+
+
+def test_many_shards(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"), (F.col("id") % 4).cast("string").alias("lang"), (F.col("id") % 9).cast("string").alias("source"))
+    by = Counter()
+    for r in sharding.shard(docs, shards=300).collect():
+        by[r.shard] += r.size
+    assert len(by) == 300 and max(by.values()) < 2 * min(by.values())
+
+
 def test_shards_follow_target_bytes(docs):
     n = len({r.shard for r in sharding.shard(docs, target_bytes=100_000).collect()})
     total = sum(size(r.text) + 16 for r in docs.collect())
