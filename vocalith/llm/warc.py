@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalith.llm.common import running_total, settle, shared_dir, skew_join
+from vocalith.llm.common import qualified, running_total, settle, shared_dir, skew_join
 
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 16 << 20
@@ -223,6 +223,7 @@ def write(
 ) -> DataFrame:
     """Write the archive to the folder ``root`` and return its manifest."""
     spark = pages.sparkSession
+    root = qualified(spark, root)
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(path(f"{root}/manifest")):
@@ -304,6 +305,7 @@ def records(stream: IO[bytes]) -> Iterator[dict]:
 
 def read(spark: SparkSession, root: str, payload: bool = True) -> DataFrame:
     """The records of the archive that the manifest in ``root`` lists; a file is read as a stream by one task."""
+    root = qualified(spark, root)
     files = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").select("shard", "seq", "file")
     spec = RECORD if payload else RECORD.rpartition(",")[0]
     kinds = {"long": pa.int64(), "string": pa.string()}
