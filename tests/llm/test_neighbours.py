@@ -87,3 +87,15 @@ def test_clusters_are_reached_in_part(spark):
     reached = [r.reached for r in neighbours.nearest(df, is_query, reached=True).collect()]
     print("reached", sum(reached) / len(reached) / len(rows))
     assert len(reached) == 200 and sum(reached) / len(reached) < 0.25 * len(rows)
+
+
+def test_all_queries_are_one_vector(spark):
+    rows = [(20 * i, [1.0, 0.0]) for i in range(300)] + [(7, [0.5, 0.5]), (9, [0.9, 0.1])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(by) == [20 * i for i in range(300)]
+    for q, found in by.items():
+        want = [20 * i for i in range(6) if 20 * i != q][:5]
+        assert [v for _, v, _ in sorted(found)] == want and all(s == 1.0 for _, _, s in found)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocalith.llm.common import settle
+from vocalith.llm.common import settle, skew_join
 
 K = 20
 TREES = 64
@@ -173,8 +173,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, share: float | Non
     ranked = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("x").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     nodes = ranked.groupBy("x").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     nodes = settle(nodes.withColumn("node", F.get("ids", F.lit(0))))
-    asked = rows.where("q").select(F.col("vec_id").alias("query_id"), F.col("x").alias("y")).distinct()
-    asked = settle(asked.join(nodes, F.col("x") == F.col("y")).select("query_id", "node"))
+    asked = settle(rows.where("q").select(F.col("vec_id").alias("query_id"), "x").distinct())
+    # Very many queries may be copies of one vector; both joins of queries split such a key.
+    asked = settle(skew_join(asked, settle(asked.groupBy("x").agg(F.count("*").alias("n")).join(nodes.select("x", "node"), "x")), ["x"]).select("query_id", "node"))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
     some = nodes.agg(F.count("*").alias("n"), F.max(norm).alias("norm")).first()
     most = float(some.norm or 0.0) * (1 + 1e-9)
@@ -227,5 +228,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, share: float | Non
     best = met.withColumn("r", top("asked", "node")).where(F.col("r") <= k + 1).drop("r")
     wide = best.join(nodes.select("node", "ids"), "node").select("asked", "score", F.explode("ids").alias("vec_id"))
     wide = wide.withColumn("r", top("asked", "vec_id")).where(F.col("r") <= k + 1).drop("r")
-    out = asked.select("query_id", F.col("node").alias("asked")).join(wide, "asked").where("query_id <> vec_id")
+    asked = asked.withColumnRenamed("node", "asked")
+    found = wide.groupBy("asked").agg(F.collect_list(F.struct("vec_id", "score")).alias("found"))  # k + 1 at most
+    found = settle(asked.groupBy("asked").agg(F.count("*").alias("n")).join(found, "asked"))
+    out = skew_join(asked, found, ["asked"]).select("query_id", F.explode("found").alias("f")).select("query_id", "f.*").where("query_id <> vec_id")
     return out.withColumn("rank", top("query_id", "vec_id")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
