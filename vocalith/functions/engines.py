@@ -7,10 +7,12 @@ classification ``c`` to a table.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocalith.functions import quantized
 from vocalith.functions import scoring as S
+from vocalith.functions import text as T
 
 #: The features of a segment under the names that the rules have for them.
 SHORT = {
@@ -27,34 +29,52 @@ class Rules:
     def ready(self) -> bool:
         return True
 
-    def classify(self, df: DataFrame) -> DataFrame:
+    def classify(self, df: DataFrame, alphas: Column | None = None) -> DataFrame:
+        """With ``alphas``, a column of priors, which is null where there are none."""
         cols = df.columns
         wide = df.select(*cols, *[F.col(f"features.{name}").alias(short) for short, name in SHORT.items()])
-        scored = wide.select(*cols, S.ranked(S.distribution(S.rule_scores())).alias("_r"))
+        dist = S.distribution(S.rule_scores())
+        if alphas is not None:
+            even = F.array(*[F.lit(1.0)] * len(S.CLASSES))
+            dist = S.blend(dist, F.coalesce(alphas, even))
+        scored = wide.select(*cols, S.ranked(dist).alias("_r"))
         return scored.select(*cols, S.classification(F.col("_r")).alias("_c")).select(*cols, S.unknown_policy(F.col("_c")).alias("c"))
 
 
 class Head:
-    """A trained model at ``base``: ready if its manifest there can be read and keeps the contract."""
+    """A trained model in the folder ``base``: ready if its manifest there can be read and keeps the contract.
+
+    Its weights are read once; ``classify`` scores the array ``windows`` of each row.
+    """
 
     id = "head"
 
-    def __init__(self, spark: SparkSession, base: str) -> None:
-        self.spark, self.base, self.model_version = spark, base, None
+    def __init__(self, spark: SparkSession, base: str, outputs: tuple[str, ...] = (*S.CLASSES, S.UNKNOWN), hop: int = 8) -> None:
+        self.spark, self.base, self.outputs, self.hop, self.model_version = spark, base.rstrip("/"), outputs, hop, None
 
     def ready(self) -> bool:
         try:
-            text = self.spark.read.text(f"{self.base.rstrip('/')}/manifest.json", wholetext=True)
+            body = self.spark.read.text(f"{self.base}/manifest.json", wholetext=True)
         except AnalysisException:  # there is none
             return False
-        m = F.from_json("value", "schemaVersion int, kind string, version string")
-        row = text.select(m.alias("m")).select("m.*").first()
+        m = T.manifest(F.col("value"))
+        row = body.select(T.accepted(m).alias("ok"), m["version"].alias("version")).first()
         self.model_version = row and row.version
-        return bool(row) and row.schemaVersion == 2 and row.kind == "waveform"
+        return bool(row) and row.ok
+
+    def classify(self, df: DataFrame, alphas: Column | None = None) -> DataFrame:
+        """An output that is no class counts as unknown; classes have thresholds of their own, and priors are the rules' only."""
+        layers = quantized.load(self.spark, f"{self.base}/weights")
+        scored = quantized.with_scores(df, "windows", layers, self.hop)
+        names = F.array(*[F.lit(c if c in S.CLASSES else S.UNKNOWN) for c in self.outputs])
+        dist = F.zip_with(names, "p", lambda n, p: F.struct(n.alias("cls"), p.alias("probability")))
+        return scored.withColumn("c", S.model_thresholds(S.classification(S.ranked(dist)))).drop("p")
+
 
-    def classify(self, df: DataFrame) -> DataFrame:
-        """Of ``probabilities``, an array of (cls, probability), with the thresholds of each class."""
-        return df.withColumn("c", S.model_thresholds(S.classification(S.ranked(F.col("probabilities")))))
+def chosen(base: Column, manifest: Column) -> tuple[Column, Column]:
+    """The id and the model version of the engine for a model at ``base`` with such a manifest."""
+    ready = (F.trim(F.coalesce(base, F.lit(""))) != "") & T.accepted(manifest)
+    return F.when(ready, Head.id).otherwise(Rules.id), F.when(ready, manifest["version"]).otherwise(Rules.model_version)
 
 
 def select_engine(spark: SparkSession, base: str | None) -> Rules | Head:

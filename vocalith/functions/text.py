@@ -9,6 +9,7 @@ from vocalith.functions.content import SIGNS
 from vocalith.operators.keyed import trimmed
 
 DASH = "—"
+ZODIAC = ("aries", "taurus", "gemini", "cancer", "leo", "virgo", "libra", "scorpio", "sagittarius", "capricorn", "aquarius", "pisces")
 
 
 def percent(p: Column) -> Column:
@@ -19,6 +20,27 @@ def hertz(x: Column) -> Column:
     return F.when(x.isNull(), DASH).otherwise(F.concat(F.floor(x + 0.5).cast("string"), F.lit(" Hz")))
 
 
+def fixed2(x: Column) -> Column:
+    """``x`` with two decimals, halves away from zero by the exact value that the double has.
+
+    200 x is compared with odd numbers; its rounding error is found by splitting x into two halves of its digits.
+    """
+    y, split = F.abs(x), F.abs(x) * 134217729.0
+    high = split - (split - y)
+    product = y * 200.0
+    error = (high * 200.0 - product) + (y - high) * 200.0
+    below = F.floor((product + 1) / 2)  # cents if what was rounded away does not matter
+    short = (product == 2 * below - 1) & (error < 0)
+    past = (product == 2 * below + 1) & (error >= 0)
+    cents = below - short.cast("long") + past.cast("long")
+    whole = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when((x < 0) & (cents > 0), F.concat(F.lit("-"), whole)).otherwise(whole)
+
+
+def duration(s: Column) -> Column:
+    return F.concat(fixed2(s), F.lit(" s"))
+
+
 def slug(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), r"\s+", "-")
 
@@ -87,6 +109,37 @@ def age_years(day: Column, year: Column, as_of: Column) -> Column:
     return F.when(day.isNotNull(), F.when(full >= 0, full)).when(year.isNotNull(), F.greatest(F.lit(0), F.year(as_of) - year))
 
 
+def sign_mark(sign: Column) -> Column:
+    """The symbol of a sign: they follow each other from Aries on."""
+    at = F.array_position(F.array(*[F.lit(s) for s in ZODIAC]), sign)
+    return F.when(at > 0, F.element_at(F.array(*[F.lit(chr(0x2648 + i)) for i in range(12)]), at.cast("int")))
+
+
+def approximate_age(year: Column, as_of: Column) -> Column:
+    """The difference of years, also of a year to come."""
+    return F.year(as_of) - year
+
+
+#: What crawlers are kept from.
+DISALLOWED = ("/api/", "/*/analyze", "/*/cats", "/*/history", "/*/medical", "/*/cards", "/*/admin")
+
+
+def disallowed(path: Column, rules: tuple[str, ...] = DISALLOWED) -> Column:
+    """Whether a rule is the head of ``path``; a star in a rule stands for anything."""
+    patterns = ["^" + ".*".join(f"\\Q{p}\\E" for p in rule.split("*")) for rule in rules]
+    return path.rlike("|".join(patterns))
+
+
+def manifest(body: Column) -> Column:
+    """What a model's manifest says, null if it is no JSON."""
+    return F.from_json(body, "schemaVersion int, kind string, version string, classes array<string>")
+
+
+def accepted(m: Column) -> Column:
+    """Whether a manifest keeps the contract."""
+    return F.coalesce((m["schemaVersion"] == 2) & (m["kind"] == "waveform"), F.lit(False))
+
+
 def is_microchip(x: Column) -> Column:
     return x.rlike(r"^[0-9]{15}\z")
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vocalith.operators.shared import settle
+
 #: What JavaScript-like trimming removes: all Unicode white space.
 BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 
@@ -49,24 +51,22 @@ def set_null(child: DataFrame, deleted: DataFrame, child_key: str, key: str) ->
     return df.withColumn(child_key, F.when(F.col("_k").isNull(), F.col(child_key))).drop("_k")
 
 
-def evicted(blobs: DataFrame, size: str, order: list[str], quota: float, target: float = 0.7, parts: int = 256) -> DataFrame:
+def evicted(blobs: DataFrame, size: str, order: list[str], quota: float, target: float = 0.7) -> DataFrame:
     """``blobs`` with evict: if the table holds ``quota``, the oldest go while more than ``target`` of it is held.
 
-    The running sum over the whole table is made in two steps: over ranges of the first
-    order column, then inside each.
+    The running sum over the whole table is made in two steps: over the partitions of a sort of all rows, which hold about as many
+    rows each however the order columns are spread, then inside each.  Nulls come first; a null size counts as nothing.
     """
-    ends = blobs.agg(F.min(order[0]).alias("lo"), F.max(order[0]).alias("hi"), F.sum(size).alias("n")).first()
-    if ends.n is None:
-        return blobs.withColumn("evict", F.lit(False))
-    width = max(1, -(-(ends.hi - ends.lo + 1) // parts))
-    part = F.floor((F.col(order[0]) - ends.lo) / width)
-    sums = blobs.groupBy(part.alias("_p")).agg(F.sum(size).alias("_n"))
+    rows = settle(blobs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    size_of = F.coalesce(F.col(size), F.lit(0))
+    sums = rows.groupBy("_p").agg(F.sum(size_of).alias("_n"))  # a row for each partition
     before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("_p", F.coalesce(before, F.lit(0)).alias("_base"))  # ``parts`` rows
+    total = F.sum("_n").over(Window.partitionBy())
+    sums = sums.select("_p", F.coalesce(before, F.lit(0)).alias("_base"), total.alias("_total"))
     inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = blobs.withColumn("_p", part).join(F.broadcast(sums), "_p")
-    held = F.lit(ends.n) - F.col("_base") - F.coalesce(F.sum(size).over(inside), F.lit(0))
-    return df.withColumn("evict", F.lit(ends.n >= quota) & (held > target * quota)).drop("_p", "_base")
+    held = F.col("_total") - F.col("_base") - F.coalesce(F.sum(size_of).over(inside), F.lit(0))
+    evict = (F.col("_total") >= quota) & (held > target * quota)
+    return rows.join(F.broadcast(sums), "_p").withColumn("evict", evict).drop("_p", "_base", "_total")
 
 
 def read_through(spark: SparkSession, folder: str, name: str, version: str, fetch: Callable[[], DataFrame]) -> tuple[bool, DataFrame]:

@@ -13,8 +13,9 @@ from vocalith.functions import contracts as C
 from vocalith.functions import engines
 from vocalith.functions import scoring as S
 from vocalith.functions import signals as G
-from vocalith.operators import keyed, priors
-from vocalith.plans import signal
+from vocalith.functions import text as T
+from vocalith.operators import folds, keyed, priors
+from vocalith.plans import signal, text
 from vocalith.sources import audio
 from vocalith.streaming import jobs
 
@@ -23,13 +24,14 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sessions(clips: DataFrame, engine: engines.Rules, persist: Column, keep_audio: Column) -> DataFrame:
+def sessions(clips: DataFrame, engine: engines.Rules, persist: Column, keep_audio: Column, alphas: Column | None = None) -> DataFrame:
     """A row for each clip (path, content, error): its error and message, or the session of its best segment.
 
+    ``alphas`` are the priors of the clip's subject, which are blended in before certainty is derived.
     ``stored`` tells whether the session goes to the store, and ``audio_key`` under which key its audio does.
     """
     best = audio.analyze(clips).select("path", "error", "duration", F.get("segments", F.lit(0)).alias("best"))
-    scored = engine.classify(best.select("*", "best.features"))
+    scored = engine.classify(best.select("*", "best.features"), alphas)
     fine = F.col("error").isNull()
     of = lambda c: F.when(fine, c)
     return scored.select(
@@ -76,29 +78,21 @@ def analyze_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame([odd_clip(int(i)) for i in b.label], columns=["path", "content"])
 
     s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("label"))
-    audio.save(s.mapInPandas(run, "path string, content binary"), folder if "://" in folder else f"file://{folder}")
+    audio.save(s.mapInPandas(run, "path string, content binary"), folder)
     name = F.substring_index("path", "/", -1)
     clips = audio.files(spark, folder).withColumn("path", name)
     number = F.regexp_extract("path", r"-(\d+)\.", 1).cast("long")
     return sessions(clips, engines.select_engine(spark, None), number % 4 != 0, number % 3 == 0)
 
 
-MANIFESTS = {
-    "good": '{"schemaVersion": 2, "kind": "waveform", "version": "7"}',
-    "old": '{"schemaVersion": 1, "kind": "waveform", "version": "6"}',
-    "other": '{"schemaVersion": 2, "kind": "logmel", "version": "7"}',
-    "broken": "not json",
-}
-
-
 def engine_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which engine is used for each place in which a model may be."""
-    folder = jobs.job_dir(spark, "models")
-    for name, manifest in MANIFESTS.items():
-        spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{folder}/{name}/manifest.json")
-    bases = {"none": None, "blank": "  ", "missing": f"{folder}/missing", **{n: f" {folder}/{n}/" for n in MANIFESTS}}
-    made = [(name, engine.id, engine.model_version) for name, base in bases.items() for engine in [engines.select_engine(spark, base)]]
-    return spark.createDataFrame(made, "base string, engine string, model_version string")
+    """Which engine scores for each document's model: a place that is blank or has no accepted manifest falls back to the rules."""
+    i = F.col("doc_id") % 8
+    base = F.when(i == 0, None).when(i == 1, F.lit("  ")).otherwise(F.concat(F.lit(" models/"), "source", F.lit("/")))
+    body = F.when(i != 2, F.col("body"))  # nothing is there
+    engine, version = engines.chosen(base, T.manifest(body))
+    docs = text.manifests(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return docs.select("doc_id", engine.alias("engine"), version.alias("model_version"))
 
 
 def recorded(feedback: DataFrame) -> DataFrame:
@@ -131,13 +125,10 @@ def two_store_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artifact_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lookups of an artifact by version: the first of a version fetches it and drops the versions before it."""
-    folder = jobs.job_dir(spark, "cache")
-    made = []
-    for i, version in enumerate(("1", "1", "2", "1")):
-        made.append((i, version, keyed.read_through(spark, folder, "model", version, lambda v=version: spark.createDataFrame([(f"weights of {v}",)], "value string"))))
-    out = [(i, version, hit, rows.first().value) for i, version, (hit, rows) in made[-1:]] + [(i, version, hit, None) for i, version, (hit, _) in made[:-1]]
-    return spark.createDataFrame(out, "lookup int, version string, hit boolean, content string")
+    """Lookups of artifacts in order of time: one hits if the artifact is held in the version asked for, else that version takes its place."""
+    e = _t(spark, sf_dir, "events")
+    asked = e.select("event_id", F.concat("event_type", F.lit("-"), (F.col("user_id") % 5).cast("string")).alias("artifact"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.floor(F.dayofmonth("ts") / 3).alias("version"))
+    return folds.read_through(asked, "artifact", ["t", "event_id"], "version").select("event_id", "artifact", "hit")
 
 
 def audio_download(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,14 +155,15 @@ QUERIES = {f.__name__: f for f in (analyze_audio, engine_choice, feedback_to_pri
 
 _CLASSES = "[" + ", ".join(f"'{c}'" for c in S.CLASSES) + "]"
 ORACLE_SQL = {
-    "engine_choice": """SELECT * FROM (VALUES ('none', 'rules', 'rules-2'), ('blank', 'rules', 'rules-2'), ('missing', 'rules', 'rules-2'), ('good', 'head', '7'),
-        ('old', 'rules', 'rules-2'), ('other', 'rules', 'rules-2'), ('broken', 'rules', 'rules-2')) t(base, engine, model_version)""",
+    "engine_choice": f"""SELECT doc_id, CASE WHEN ok THEN 'head' ELSE 'rules' END AS engine, CASE WHEN ok THEN 'v' || (doc_id % 11) ELSE 'rules-2' END AS model_version
+        FROM (SELECT doc_id, doc_id % 8 > 2 AND {text._MANIFEST_OK} AS ok FROM documents)""",
     "feedback_to_priors": f"""WITH f AS (SELECT user_id AS cat_id, event_id % 13 + 1 AS i FROM events WHERE user_id % 10 <> 0 AND event_id % 3 <> 0 AND event_id % 13 < 10),
         g AS (SELECT cat_id, i FROM (SELECT DISTINCT cat_id FROM f), range(1, 11) t(i))
         SELECT cat_id, {_CLASSES}[i::INT] AS cls, 1.0::DOUBLE + (SELECT count(*) FROM f WHERE f.cat_id = g.cat_id AND f.i = g.i) AS alpha FROM g""",
     "two_store_write": """SELECT event_type AS session, count(*) AS n, count(CASE WHEN event_id % 3 = 0 THEN props END) AS n_audio, sum(event_id)::BIGINT AS ids
         FROM events GROUP BY event_type""",
-    "artifact_cache": "SELECT * FROM (VALUES (0, '1', false, NULL), (1, '1', true, NULL), (2, '2', false, NULL), (3, '1', false, 'weights of 1')) t(lookup, version, hit, content)",
+    "artifact_cache": """SELECT event_id, artifact, coalesce(version = lag(version) OVER (PARTITION BY artifact ORDER BY ts, event_id), false) AS hit
+        FROM (SELECT event_id, ts, event_type || '-' || (user_id % 5) AS artifact, day(ts) // 3 AS version FROM events)""",
     "audio_download": """WITH h AS (SELECT *, md5('audio:' || event_id) AS h FROM events WHERE event_id % 3 = 0)
         SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN 'meow-' || substr(h, 1, 8) || '.webm' END AS name, CASE WHEN event_id % 4 <> 0 THEN length(props) END::BIGINT AS size FROM h""",
     "kernel_parity": "SELECT count(*) * 33 AS n, true AS alike, 0::DOUBLE AS difference FROM embeddings",

@@ -1,15 +1,12 @@
 """Queries of payload contracts, access, messages and small expressions.
 
-The payloads are a few fixed ones, right or with one fault each, dealt over the rows of a
-table; the twins state which fault each has.
+The payloads are JSON made from the values of events, which break the contracts in many ways; the twins say from the
+same values what is wrong first.
 """
 
 from __future__ import annotations
 
-import copy
-import json
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocalith.functions import content
@@ -23,85 +20,70 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-ID = "12345678-9abc-4def-8123-456789abcdef"
-GOOD_FEATURES = {
-    "durationS": 0.6, "rms": 0.3, "f0Hz": 500, "f0StartHz": 420.5, "f0EndHz": None, "f0RangeHz": 160, "voicedRatio": 0.85, "spectralCentroidHz": 1800,
-    "spectralFlatness": 0.04, "zeroCrossingRate": 1200, "amRateHz": None, "amStrength": 0,
-}
-GOOD_SESSION = {
-    "id": ID, "catId": None, "createdAt": 1700000000000, "source": "file", "recordingDurationS": 2.5, "segment": {"startS": 0, "endS": 1.5, "features": GOOD_FEATURES},
-    "classification": {"primary": {"cls": "dolor", "probability": 0.7}, "alternatives": [{"cls": "unknown", "probability": 0.2}], "certainty": "high", "ambiguous": False, "engineId": "rules", "modelVersion": "1"},
-}
-GOOD_QUESTION = {
-    "mode": "meow", "locale": "en", "question": "Why?",
-    "context": {"name": "Tom", "ageYears": 3, "vaccines": [{"name": "rabies", "status": "done"}], "records": [], "recentMeows": [{"cls": "dolor", "confidence": 1, "date": "2024-01-01"}]},
-}
-GOOD_FEEDBACK = {"sessionId": ID, "verdict": "incorrect", "predictedClass": "dolor", "correctedClass": None, "sharedForTraining": True, "turnstileToken": "t"}
-GONE = object()
-
-
-def _with(good: dict, path: str, value: object) -> str:
-    """``good`` as JSON, with another value, or none, at ``path``."""
-    made = copy.deepcopy(good)
-    *way, last = path.split(".")
-    at = made
-    for step in way:
-        at = at[step]
-    if value is GONE:
-        del at[last]
-    else:
-        at[last] = value
-    return json.dumps(made)
-
-
-#: For each contract its payloads and where each breaks it.
-FEATURE_CASES = [
-    (json.dumps(GOOD_FEATURES), None), ("not json", "$"), ("[1]", "$"), (_with(GOOD_FEATURES, "durationS", -1), "$.durationS"), (_with(GOOD_FEATURES, "rms", None), "$.rms"),
-    (_with(GOOD_FEATURES, "rms", "0.3"), "$.rms"), (_with(GOOD_FEATURES, "voicedRatio", 1.01), "$.voicedRatio"), (_with(GOOD_FEATURES, "voicedRatio", 1), None), (_with(GOOD_FEATURES, "f0Hz", "500"), "$.f0Hz"),
-    (_with(GOOD_FEATURES, "amRateHz", GONE), "$.amRateHz"), (_with(GOOD_FEATURES, "amStrength", float("nan")), "$"), (_with(GOOD_FEATURES, "extra", "is let be"), None),
-]
-SESSION_CASES = [
-    (json.dumps(GOOD_SESSION), None), (_with(GOOD_SESSION, "id", "x" + ID), "$.id"), (_with(GOOD_SESSION, "catId", ID.upper()), None), (_with(GOOD_SESSION, "catId", GONE), "$.catId"),
-    (_with(GOOD_SESSION, "createdAt", 1.5), "$.createdAt"), (_with(GOOD_SESSION, "createdAt", 2.0), None), (_with(GOOD_SESSION, "source", "radio"), "$.source"), (_with(GOOD_SESSION, "segment.startS", -0.1), "$.segment.startS"),
-    (_with(GOOD_SESSION, "segment.features.rms", GONE), "$.segment.features.rms"), (_with(GOOD_SESSION, "classification.primary.cls", "purr"), "$.classification.primary.cls"),
-    (_with(GOOD_SESSION, "classification.primary.probability", 2), "$.classification.primary.probability"), (_with(GOOD_SESSION, "classification.alternatives", [{"cls": "dolor"}]), "$.classification.alternatives"),
-    (_with(GOOD_SESSION, "classification.alternatives", []), None), (_with(GOOD_SESSION, "classification.certainty", "sure"), "$.classification.certainty"), (_with(GOOD_SESSION, "classification.ambiguous", 0), "$.classification.ambiguous"),
-    (_with(GOOD_SESSION, "classification.engineId", GONE), "$.classification.engineId"),
-]
-QUESTION_CASES = [
-    (json.dumps(GOOD_QUESTION), None), (_with(GOOD_QUESTION, "mode", "law"), "$.mode"), (_with(GOOD_QUESTION, "locale", "fr"), "$.locale"), (_with(GOOD_QUESTION, "question", ""), "$.question"),
-    (_with(GOOD_QUESTION, "question", "q" * 1001), "$.question"), (_with(GOOD_QUESTION, "question", "q" * 1000), None), (_with(GOOD_QUESTION, "context", GONE), "$.context"), (_with(GOOD_QUESTION, "context", {}), None),
-    (_with(GOOD_QUESTION, "context.name", "n" * 81), "$.context.name"), (_with(GOOD_QUESTION, "context.name", None), "$.context.name"), (_with(GOOD_QUESTION, "context.ageYears", 41), "$.context.ageYears"),
-    (_with(GOOD_QUESTION, "context.vaccines", [{"name": "a", "status": "b"}] * 31), "$.context.vaccines"), (_with(GOOD_QUESTION, "context.vaccines", [{"name": "a", "status": "b"}] * 30), None),
-    (_with(GOOD_QUESTION, "context.records", [{"kind": "a", "title": "t" * 121}]), "$.context.records"), (_with(GOOD_QUESTION, "context.recentMeows", [{"cls": "a", "confidence": 1.5}]), "$.context.recentMeows"),
-]
-FEEDBACK_CASES = [
-    (json.dumps(GOOD_FEEDBACK), None), (_with(GOOD_FEEDBACK, "sessionId", "1"), "$.sessionId"), (_with(GOOD_FEEDBACK, "verdict", "maybe"), "$.verdict"), (_with(GOOD_FEEDBACK, "predictedClass", ""), "$.predictedClass"),
-    (_with(GOOD_FEEDBACK, "correctedClass", "pelea"), None), (_with(GOOD_FEEDBACK, "correctedClass", GONE), "$.correctedClass"), (_with(GOOD_FEEDBACK, "sharedForTraining", "yes"), "$.sharedForTraining"),
-    (_with(GOOD_FEEDBACK, "turnstileToken", ""), "$.turnstileToken"), ("{}", "$.sessionId"),
-]
-
-
-def _check(spark: SparkSession, sf_dir: str, cases: list, error: object) -> DataFrame:
-    payloads = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(cases)], "i long, payload string")
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.pmod("vec_id", F.lit(len(cases))).alias("i"))
-    return rows.join(F.broadcast(payloads), "i").select("vec_id", error(F.col("payload")).alias("error"))
+def _json(*pieces: object) -> Column:
+    """Text and columns put together."""
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in pieces])
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").withColumns({f"i{n}": F.col("event_id") % n for n in (3, 5, 7, 11, 13, 17, 19, 23, 29)})
+
+
+def _either(odd: Column, then: object, other: object) -> Column:
+    """``other``, but ``then`` in odd rows; None is nothing at all."""
+    text = lambda x: F.lit("" if x is None else x) if isinstance(x, str | None) else x.cast("string")
+    return F.when(odd, text(then)).otherwise(text(other))
+
+
+def _features() -> Column:
+    """The features of an event's row as JSON, some of them wrong, as the values and the number of the event have it."""
+    v, i = F.col("value"), F.col
+    return _json(
+        '{"durationS": ', v - 5, ', "rms": ', _either(i("i11") == 3, '"0.3"', v / 100), _either(i("i13") == 4, None, ', "f0RangeHz": 160'), ', "voicedRatio": ', v / 60,
+        ', "spectralCentroidHz": ', i("user_id") * 10, ', "spectralFlatness": 0.04, "zeroCrossingRate": 1200, "amStrength": ', _either(i("i17") == 5, "null", "0"), ', "f0Hz": ',
+        _either(i("i5") == 0, "null", _either(i("i19") == 6, '"500"', "500")), ', "f0StartHz": 420.5, "f0EndHz": null', _either(i("i23") == 7, None, ', "amRateHz": null'), ', "extra": "is let be"}',
+    )
 
 
 def features_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _check(spark, sf_dir, FEATURE_CASES, C.features_error)
+    payload = F.when(F.col("i29") == 8, F.substring(_features(), 2, 40)).otherwise(_features())
+    return _events(spark, sf_dir).select("event_id", C.features_error(payload).alias("error"))
 
 
 def session_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _check(spark, sf_dir, SESSION_CASES, C.session_error)
+    i, v, own = F.col, F.col("value"), C.stable_uuid(F.lit("session"), F.col("event_id"))
+    payload = _json(
+        '{"id": "', _either(i("i29") == 1, "x", ""), own, '"', _either(i("i7") == 0, None, _json(', "catId": ', _either(i("i3") == 0, "null", _json('"', F.upper(own), '"')))),
+        ', "createdAt": ', F.unix_millis(F.col("ts").cast("timestamp")), _either(i("i23") == 2, ".5", ""), ', "source": "', F.get(F.array(F.lit("file"), F.lit("microphone"), F.lit("radio")), (i("i19") % 3).cast("int")),
+        '", "recordingDurationS": 2.5, "segment": {"startS": ', v - 2, ', "endS": 1.5, "features": ', _features(), '}, "classification": {"primary": {"cls": "', _either(i("i13") == 6, "purr", "dolor"),
+        '", "probability": ', v / 40, '}, "alternatives": [', _either(i("i11") == 5, '{"cls": "dolor"}', '{"cls": "unknown", "probability": 0.2}'), '], "certainty": "high", "ambiguous": ',
+        _either(i("i17") == 3, "0", "false"), ', "engineId": "rules", "modelVersion": "1"}}',
+    )
+    return _events(spark, sf_dir).select("event_id", C.session_error(payload).alias("error"))
 
 
 def assistant_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _check(spark, sf_dir, QUESTION_CASES, C.assistant_error)
+    i, v = F.col, F.col("value")
+    vaccine = '{"name": "a", "status": "b"}'
+    context = _json(
+        '{"name": "', F.repeat(F.lit("n"), (i("user_id") % 90).cast("int")), '", "ageYears": ', i("event_id") % 45, ', "vaccines": [', F.repeat(F.lit(vaccine + ", "), (i("event_id") % 33).cast("int")), vaccine,
+        '], "recentMeows": [{"cls": "dolor", "confidence": ', v / 60, "}]}",
+    )
+    payload = _json(
+        '{"mode": "', F.get(F.array(F.lit("medical"), F.lit("meow"), F.lit("law")), (i("i17") % 3).cast("int")), '", "locale": "', _either(i("i7") == 1, "fr", "en"), '", "question": "',
+        F.repeat(F.lit("q"), F.floor(v * 25).cast("int")), '"', _either(i("i11") == 2, None, _json(', "context": ', context)), "}",
+    )
+    return _events(spark, sf_dir).select("event_id", C.assistant_error(payload).alias("error"))
 
 
 def feedback_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _check(spark, sf_dir, FEEDBACK_CASES, C.feedback_error)
+    i = F.col
+    payload = _json(
+        '{"sessionId": "', _either(i("i7") == 1, "1", C.stable_uuid(F.lit("session"), F.col("event_id"))), '", "verdict": "', F.get(F.array(*[F.lit(x) for x in (*C.VERDICTS, "maybe")]), (i("user_id") % 4).cast("int")),
+        '", "predictedClass": "', _either(i("i29") == 2, "", "dolor"), '"', _either(i("i11") == 3, None, _json(', "correctedClass": ', _either(i("i3") == 0, "null", '"pelea"'))), ', "sharedForTraining": ',
+        _either(i("i13") == 4, '"yes"', "true"), ', "turnstileToken": "', F.repeat(F.lit("t"), (i("i19") % 7).cast("int")), '"}',
+    )
+    return _events(spark, sf_dir).select("event_id", C.feedback_error(payload).alias("error"))
 
 
 def access_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +108,11 @@ def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def other_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each sound every other one."""
+    """For the sound of each event every other one."""
     of = content.vocalizations(spark).select("slug")
-    return of.join(F.broadcast(of.withColumnRenamed("slug", "other")), F.col("slug") != F.col("other"))
+    slugs = F.array(*[F.lit(c.replace("_", "-")) for c in content.CATEGORY])
+    e = _t(spark, sf_dir, "events").select("event_id", F.get(slugs, F.pmod("event_id", F.lit(10)).cast("int")).alias("own"))
+    return e.join(F.broadcast(of.withColumnRenamed("slug", "other")), F.col("own") != F.col("other"))
 
 
 def local_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,18 +138,13 @@ def swept_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.round(F.sin(2 * F.pi() * F.col("phase")), 6).alias("sample"))
 
 
-BUNDLES = {
-    "en": {"nav": {"home": "Home", "more": {"about": "About", "only": {"here": "x"}}}, "list": ["a", "b"], "empty": {}, "count": 3, "odd": "{\"not\": \"a tree\"}"},
-    "es": {"nav": {"home": "Inicio", "more": {"about": None}}, "list": [], "count": 3, "odd": "", "extra": True},
-}
-
-
 def bundle_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dotted keys that only one of two message bundles has; the bundles are files named after their locales."""
+    """Dotted keys that only one of two locales' message bundles has; the bundles are lines of files in a folder for each locale."""
     folder = jobs.job_dir(spark, "messages")
-    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in BUNDLES.items()], "locale string, value string")
-    rows.write.partitionBy("locale").text(folder)
-    flat = bundles.flattened(spark.read.text(folder, wholetext=True).select("locale", F.col("value").alias("bundle")))
+    name = F.concat(F.lit('{"'), "source", F.lit('":{"d'), (F.col("doc_id") % 400).cast("string"), F.lit('":{"chars":'), F.col("n_chars").cast("string"))
+    body = F.concat(name, F.when(F.col("doc_id") % 3 == 0, F.lit(',"more":{"list":["a"],"none":null}')).otherwise(F.lit("")), F.lit('}},"empty":{}}'))
+    _t(spark, sf_dir, "documents").select(F.col("lang").alias("locale"), body.alias("value")).write.partitionBy("locale").text(folder)
+    flat = bundles.flattened(spark.read.text(folder).select("locale", F.col("value").alias("bundle")))
     return bundles.only_in_one(flat, "en", "es")
 
 
@@ -178,23 +157,25 @@ QUERIES = {
 }
 
 
-def _faults(cases: list) -> str:
-    said = " ".join(f"WHEN {i} THEN '{e}'" for i, (_, e) in enumerate(cases) if e)
-    return f"SELECT vec_id, CASE vec_id % {len(cases)} {said} END AS error FROM embeddings"
-
-
+_FEATURE_FAULTS = """WHEN value - 5 < 0 THEN '{0}durationS' WHEN event_id % 11 = 3 THEN '{0}rms' WHEN event_id % 13 = 4 THEN '{0}f0RangeHz' WHEN value / 60 > 1 THEN '{0}voicedRatio'
+    WHEN event_id % 17 = 5 THEN '{0}amStrength' WHEN event_id % 5 <> 0 AND event_id % 19 = 6 THEN '{0}f0Hz' WHEN event_id % 23 = 7 THEN '{0}amRateHz'"""
 _TEXT = "replace(replace(replace(replace(url_encode({0}), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')')"
 _SLUGS = "[" + ", ".join(f"'{c.replace('_', '-')}'" for c in content.CATEGORY) + "]"
 ORACLE_SQL = {
-    "features_check": _faults(FEATURE_CASES),
-    "session_check": _faults(SESSION_CASES),
-    "assistant_check": _faults(QUESTION_CASES),
-    "feedback_check": _faults(FEEDBACK_CASES),
+    "features_check": f"SELECT event_id, CASE WHEN event_id % 29 = 8 THEN '$' {_FEATURE_FAULTS.format('$.')} END AS error FROM events",
+    "session_check": f"""SELECT event_id, CASE WHEN event_id % 29 = 1 THEN '$.id' WHEN event_id % 7 = 0 THEN '$.catId' WHEN event_id % 23 = 2 THEN '$.createdAt' WHEN event_id % 19 % 3 = 2 THEN '$.source'
+        WHEN value - 2 < 0 THEN '$.segment.startS' {_FEATURE_FAULTS.format('$.segment.features.')} WHEN event_id % 13 = 6 THEN '$.classification.primary.cls'
+        WHEN value / 40 > 1 THEN '$.classification.primary.probability' WHEN event_id % 11 = 5 THEN '$.classification.alternatives' WHEN event_id % 17 = 3 THEN '$.classification.ambiguous' END AS error FROM events""",
+    "assistant_check": """SELECT event_id, CASE WHEN event_id % 17 % 3 = 2 THEN '$.mode' WHEN event_id % 7 = 1 THEN '$.locale' WHEN floor(value * 25) < 1 OR floor(value * 25) > 1000 THEN '$.question'
+        WHEN event_id % 11 = 2 THEN '$.context' WHEN user_id % 90 > 80 THEN '$.context.name' WHEN event_id % 45 > 40 THEN '$.context.ageYears' WHEN event_id % 33 + 1 > 30 THEN '$.context.vaccines'
+        WHEN value / 60 > 1 THEN '$.context.recentMeows' END AS error FROM events""",
+    "feedback_check": """SELECT event_id, CASE WHEN event_id % 7 = 1 THEN '$.sessionId' WHEN user_id % 4 = 3 THEN '$.verdict' WHEN event_id % 29 = 2 THEN '$.predictedClass' WHEN event_id % 11 = 3 THEN '$.correctedClass'
+        WHEN event_id % 13 = 4 THEN '$.sharedForTraining' WHEN event_id % 19 % 7 = 0 THEN '$.turnstileToken' END AS error FROM events""",
     "access_gate": "SELECT event_id, false AS premium, CASE WHEN event_id % 5 < 2 THEN 'audio:' || event_id END AS audio_key FROM events WHERE event_id % 2 <> 0 OR user_id % 3 = 0",
     "admin_allowlist": "SELECT c_custkey, c_custkey IN (1, 7, 20) AS admin, false AS of_none FROM customer",
     "error_messages": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'errorNoVocalization' WHEN 1 THEN 'errorTooLong' WHEN 2 THEN 'errorTooShort'
         WHEN 3 THEN 'errorWrongFormat' WHEN 4 THEN 'errorWrongFormat' ELSE 'errorGeneric' END AS message FROM events""",
-    "other_sounds": f"SELECT slug, other FROM (SELECT unnest({_SLUGS}) AS slug), (SELECT unnest({_SLUGS}) AS other) WHERE slug <> other",
+    "other_sounds": f"SELECT event_id, own, other FROM (SELECT event_id, {_SLUGS}[(event_id % 10 + 1)::INT] AS own FROM events), (SELECT unnest({_SLUGS}) AS other) WHERE own <> other",
     "local_dates": "SELECT o_orderkey, strftime(o_orderdate, '%-d/%-m/%Y') AS es, strftime(o_orderdate, '%-m/%-d/%Y') AS en FROM orders",
     "social_links": f"""WITH x AS (SELECT c_custkey, {_TEXT.format("'It''s ' || c_name || ' (ñ) & co!'")} AS t, {_TEXT.format("'https://meow.example/card?c=' || c_custkey")} AS u FROM customer)
         SELECT c_custkey, 'https://wa.me/?text=' || t || '%20' || u AS whatsapp, 'https://t.me/share/url?url=' || u || '&text=' || t AS telegram FROM x""",
@@ -202,5 +183,7 @@ ORACLE_SQL = {
         SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id,
                ('0x' || substr(p, 1, 8))::BIGINT % 100000 AS seed FROM h""",
     "swept_phase": "SELECT event_id, round(sin(2 * pi() * sum((400 + value) / 16000) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 6) AS sample FROM events",
-    "bundle_parity": "SELECT * FROM (VALUES ('nav.more.only.here', 'en'), ('extra', 'es')) t(key, side)",
+    "bundle_parity": """WITH k AS (SELECT lang, source || '.d' || (doc_id % 400) || '.chars' AS key FROM documents
+            UNION SELECT lang, source || '.d' || (doc_id % 400) || '.more.' || unnest(['list', 'none']) FROM documents WHERE doc_id % 3 = 0)
+        SELECT key, min(lang) AS side FROM k WHERE lang IN ('en', 'es') GROUP BY key HAVING count(DISTINCT lang) = 1""",
 }

@@ -63,18 +63,24 @@ DAY = 86_400_000
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two limiters over each user, 2 in 12 hours and 3 in a day; either counts what the other refuses."""
-    df = folds.rate_limit(requests(spark, sf_dir), "user_id", ["t", "event_id"], 2, DAY // 2)
-    df = df.select("user_id", "event_id", "t", F.col("ok").alias("ok_half"), F.col("remaining").alias("remaining_half"), F.col("reset_at").alias("reset_half"))
-    df = folds.rate_limit(df, "user_id", ["t", "event_id"], 3, DAY)
-    return df.select("event_id", "ok_half", "remaining_half", "reset_half", F.col("ok").alias("ok_day"), F.col("remaining").alias("remaining_day"), F.col("reset_at").alias("reset_day"))
+    names = [f"ok_{n} boolean, remaining_{n} long, reset_{n} long" for n in ("half", "day")]
+    return folds.rate_limits(requests(spark, sf_dir), "user_id", ["t", "event_id"], [(2, DAY // 2), (3, DAY)], names).drop("user_id", "t")
 
 
 def microbatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    df = folds.micro_batches(e, "user_id", [F.col("ts"), F.col("event_id")])
+    df = folds.micro_batches(e.select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"])
     return df.groupBy("user_id", "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def timed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of each kind of events: a second of event time stands for five milliseconds, and 5 events fill a batch."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.select("event_type", "event_id", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 200).alias("t"))
+    df = folds.timed_batches(e, "event_type", ["t", "event_id"], size=5)
+    return df.groupBy("event_type", "batch").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.sum("event_id").alias("ids"))
+
+
 QUERIES = {
     "quantile_threshold": quantile_threshold,
     "vad_hangover": vad_hangover,
@@ -83,6 +89,7 @@ QUERIES = {
     "ema_smoothing": ema_smoothing,
     "rate_limit": rate_limit,
     "microbatches": microbatches,
+    "timed_batches": timed_batches,
 }
 
 _FRAMES = "frames AS (SELECT user_id AS clip, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value AS rms FROM events)"
@@ -126,4 +133,13 @@ ORACLE_SQL = {
                d.k <= 3 AS ok_day, greatest(0, 3 - d.k) AS remaining_day, d.reset AS reset_day FROM h JOIN d USING (event_id)""",
     "microbatches": """SELECT user_id, batch, count(*) AS n, min(event_id) AS first_id, round(sum(value), 4) AS total
         FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 50 AS batch FROM events) GROUP BY ALL""",
+    "timed_batches": """WITH RECURSIVE o AS (
+        SELECT event_type, event_id, epoch_us(ts) // 200000 AS t, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 200000, event_id) AS k FROM events
+    ), o2 AS (
+        SELECT a.event_type, a.k, least(a.k + 5, coalesce((SELECT min(b.k) FROM o b WHERE b.event_type = a.event_type AND b.t >= a.t + 5000), 1000000000)) AS next FROM o a
+    ), w AS (
+        SELECT event_type, k, next, 0 AS batch FROM o2 WHERE k = 1
+        UNION ALL SELECT o2.event_type, o2.k, o2.next, batch + 1 FROM w JOIN o2 ON o2.event_type = w.event_type AND o2.k = w.next
+    ) SELECT o.event_type, batch::BIGINT AS batch, count(*) AS n, min(t) AS first_t, sum(event_id)::BIGINT AS ids
+        FROM w JOIN o ON o.event_type = w.event_type AND o.k >= w.k AND o.k < w.next GROUP BY ALL""",
 }

@@ -92,14 +92,24 @@ def vaccine_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(cats, "cat", "left").select("cat", F.coalesce("c_name", F.lit("cat")).alias("name"), made.alias("record"))
 
 
+#: Flags whose values clients are told.
+CLIENT = tuple(k for k in content.FLAGS if k.startswith("premium."))
+
+
+def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, key and stored: each user's last write to each flag; some keys are none of a flag."""
+    keys = F.array(*[F.lit(k) for k in (*content.FLAGS, "no.such.flag")])
+    e = _t(spark, sf_dir, "events").select("user_id", F.get(keys, F.pmod("event_id", F.lit(len(content.FLAGS) + 1)).cast("int")).alias("key"), F.struct("ts", "event_id").alias("at"), (F.col("user_id") % 3 == F.col("event_id") % 3).alias("stored"))
+    return e.groupBy("user_id", "key").agg(F.max_by("stored", "at").alias("stored"))
+
+
 def flags_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defaults, then stored overrides of known keys, then the environment's switch."""
-    stored = spark.createDataFrame([("premium.enabled", True), ("engine.onnx", True), ("no.such.flag", True)], "key string, stored boolean")
-    environment = {"accounts.enabled": True}
-    df = content.flags(spark).join(F.broadcast(stored), "key", "left").select("key", F.coalesce("stored", "enabled").alias("enabled"))
-    for key, value in environment.items():
-        df = df.withColumn("enabled", F.when(F.col("key") == key, F.lit(value)).otherwise(F.col("enabled")))
-    return df.select("key", "enabled", F.col("key").isin(*content.TOGGLEABLE).alias("toggleable"))
+    """All flags of each user: defaults, then stored overrides of known keys, then the environment's switch."""
+    stored = overrides(spark, sf_dir)
+    flag = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("enabled")) for k, v in content.FLAGS.items()])).alias("f")
+    df = stored.select("user_id").distinct().select("user_id", flag).select("user_id", "f.*").join(stored, ["user_id", "key"], "left")
+    enabled = F.when(F.col("key") == "accounts.enabled", F.lit(True)).otherwise(F.coalesce("stored", "enabled"))  # the environment says so
+    return df.select("user_id", "key", enabled.alias("enabled"), F.col("key").isin(*content.TOGGLEABLE).alias("toggleable"), F.col("key").isin(*CLIENT).alias("client"))
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,10 +225,12 @@ ORACLE_SQL = {
     "vaccine_export": f"""WITH {_DOSES} SELECT d.cat, coalesce(any_value(c_name), 'cat') AS name,
             to_json(list(struct_pack(name := coalesce(v.name, d.id, 'other'), day := day) ORDER BY day DESC, o_orderkey))::VARCHAR AS record
         FROM doses d LEFT JOIN {_VAC} v(id, name, level, eu, us, other) ON v.id = d.id LEFT JOIN customer ON c_custkey = d.cat GROUP BY d.cat""",
-    "flags_resolved": f"""SELECT f.key, CASE WHEN f.key = 'accounts.enabled' THEN true ELSE coalesce(o.enabled, f.enabled) END AS enabled,
-            f.key IN {content.TOGGLEABLE} AS toggleable
-        FROM {_values([(k, v) for k, v in content.FLAGS.items()])} f(key, enabled)
-        LEFT JOIN (VALUES ('premium.enabled', true), ('engine.onnx', true), ('no.such.flag', true)) o(key, enabled) ON o.key = f.key""",
+    "flags_resolved": f"""WITH o AS (SELECT user_id, {[*content.FLAGS, "no.such.flag"]}[(event_id % {len(content.FLAGS) + 1} + 1)::INT] AS key, user_id % 3 = event_id % 3 AS stored, ts, event_id FROM events),
+        l AS (SELECT user_id, key, stored FROM o QUALIFY row_number() OVER (PARTITION BY user_id, key ORDER BY ts DESC, event_id DESC) = 1)
+        SELECT u.user_id, f.key, CASE WHEN f.key = 'accounts.enabled' THEN true ELSE coalesce(l.stored, f.enabled) END AS enabled,
+            f.key IN {content.TOGGLEABLE} AS toggleable, starts_with(f.key, 'premium.') AS client
+        FROM (SELECT DISTINCT user_id FROM events) u, {_values([(k, v) for k, v in content.FLAGS.items()])} f(key, enabled)
+        LEFT JOIN l ON l.user_id = u.user_id AND l.key = f.key""",
     "upsert_latest": """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'new ' || c_name ELSE c_name END AS c_name, CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS version
         FROM customer UNION ALL SELECT c_custkey + 10000000, c_name, 1 FROM customer WHERE c_custkey % 50 = 0""",
     "partial_update": """SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 OR c_custkey % 5 = 0 THEN c_mktsegment WHEN c_custkey % 2 = 0 THEN NULL ELSE c_name END AS c_mktsegment,

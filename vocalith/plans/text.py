@@ -98,14 +98,16 @@ SITE = "https://example.org"
 
 
 def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every public path in every locale with its priority and alternates."""
-    sounds = content.vocalizations(spark).select(F.concat(F.lit("/sounds/"), "slug").alias("path"))
-    fixed = spark.createDataFrame([("",), ("/legal/terms",), ("/legal/privacy",)], "path string")
-    locales = spark.createDataFrame([(x,) for x in content.LOCALES], "locale string")
+    """The public path of every page in every locale, with its priority, its alternates and, if it is a sound's, the sound's title."""
+    sounds = content.vocalizations(spark).select("slug", "title")
+    slugs = F.array(*[F.lit(c.replace("_", "-")) for c in content.CATEGORY], F.lit("no-such-sound"))
+    own, i = F.regexp_replace("url", r"^[a-z]+://[^/]*", ""), F.col("page_id") % 14
+    path = F.when(i == 0, F.lit("")).when(i == 1, F.concat(F.lit("/legal"), own)).when(i == 2, own).otherwise(F.concat(F.lit("/sounds/"), F.get(slugs, (i - 3).cast("int"))))
+    pages = _t(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("slug", F.regexp_extract("path", "^/sounds/(.*)", 1))
+    rows = pages.join(F.broadcast(sounds), "slug", "left").select("page_id", "path", "title", F.explode(F.array(*[F.lit(x) for x in content.LOCALES])).alias("locale"))
     url = lambda x: F.concat(F.lit(f"{SITE}/"), x, F.col("path"))
     priority = F.when(F.col("path") == "", 1.0).when(F.col("path").startswith("/legal/"), 0.3).otherwise(0.7)
-    rows = fixed.union(sounds).crossJoin(F.broadcast(locales))  # 13 paths, 2 locales
-    return rows.select(url(F.col("locale")).alias("url"), priority.alias("priority"), *[url(F.lit(x)).alias(f"alternate_{x}") for x in content.LOCALES], url(F.lit("es")).alias("x_default"))
+    return rows.select("page_id", url(F.col("locale")).alias("url"), "title", priority.alias("priority"), *[url(F.lit(x)).alias(f"alternate_{x}") for x in content.LOCALES], url(F.lit("es")).alias("x_default"))
 
 
 def key_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,19 +130,20 @@ def misc_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", w.alias("width"), h.alias("height"), left.alias("seconds_left"), stage.cast("long").alias("progress"))
 
 
-MANIFESTS = (
-    ("a", '{"schemaVersion": 2, "kind": "waveform", "classes": ["x", "y"]}'),
-    ("b", '{"schemaVersion": 1, "kind": "waveform", "classes": []}'),
-    ("c", '{"schemaVersion": 2, "kind": "logmel"}'),
-    ("d", "not json"),
-)
+# Manifests of documents with all kinds of mistakes, in either dialect.
+MANIFEST = """CASE WHEN doc_id % 7 = 0 THEN source ELSE '{"schemaVersion": ' || (1 + doc_id % 3) || ', "kind": "' || CASE WHEN doc_id % 5 = 0 THEN 'logmel' ELSE 'waveform' END
+    || '", "version": "v' || (doc_id % 11) || '"' || CASE WHEN doc_id % 4 = 0 THEN '' ELSE ', "classes": [' || repeat('"x", ', CAST(doc_id % 3 AS INT)) || '"y"]' END || '}' END"""
+_MANIFEST_OK = "doc_id % 7 <> 0 AND doc_id % 3 = 1 AND doc_id % 5 <> 0"
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.expr(MANIFEST).alias("body"))
 
 
 def manifest_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.from_json("body", "schemaVersion int, kind string, classes array<string>")
-    df = spark.createDataFrame(MANIFESTS, "name string, body string").withColumn("m", m)
-    ok = F.coalesce((F.col("m.schemaVersion") == 2) & (F.col("m.kind") == "waveform"), F.lit(False))
-    return df.select("name", ok.alias("accepted"), F.coalesce(F.when(F.col("m.classes").isNotNull(), F.size("m.classes")), F.lit(0)).cast("long").alias("n_classes"))
+    df = manifests(spark, sf_dir).withColumn("m", T.manifest(F.col("body")))
+    n = F.coalesce(F.when(F.col("m.classes").isNotNull(), F.size("m.classes")), F.lit(0))
+    return df.select("doc_id", T.accepted(F.col("m")).alias("accepted"), n.cast("long").alias("n_classes"))
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,17 +226,20 @@ ORACLE_SQL = {
         ) SELECT c_custkey, coalesce(nullif(concat_ws(chr(10), CASE WHEN c_custkey % 7 <> 0 THEN 'Cat: ' || c_name END, CASE WHEN c_custkey % 3 <> 0 THEN 'Breed: ' || c_mktsegment END,
             CASE WHEN c_custkey % 2 <> 0 THEN 'Age: ' || (c_custkey % 20) || ' years' END, 'Vaccines:' || chr(10) || d, 'Recent meow analyses:' || chr(10) || m), ''), '(no cat context provided)') AS context
         FROM customer LEFT JOIN m ON user_id = c_custkey LEFT JOIN d ON o_custkey = c_custkey""",
-    "sitemap": "WITH p AS (SELECT unnest(['', '/legal/terms', '/legal/privacy', " + ", ".join(f"'/sounds/{c.replace('_', '-')}'" for c in content.CATEGORY) + f"""]) AS path)
-        SELECT '{SITE}/' || locale || path AS url, CASE WHEN path = '' THEN 1::DOUBLE WHEN starts_with(path, '/legal/') THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END AS priority,
+    "sitemap": "WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"('{c.replace('_', '-')}', '{t}')" for c, (t, _) in content.TITLES.items()) + f""") t(slug, title)),
+        p AS (SELECT page_id, page_id % 14 AS i, regexp_replace(url, '^[a-z]+://[^/]*', '') AS own FROM pages),
+        q AS (SELECT page_id, CASE i WHEN 0 THEN '' WHEN 1 THEN '/legal' || own WHEN 2 THEN own
+            ELSE '/sounds/' || {[*(c.replace('_', '-') for c in content.CATEGORY), 'no-such-sound']}[(i - 2)::INT] END AS path FROM p)
+        SELECT page_id, '{SITE}/' || locale || path AS url, title, CASE WHEN path = '' THEN 1::DOUBLE WHEN starts_with(path, '/legal/') THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END AS priority,
                '{SITE}/es' || path AS alternate_es, '{SITE}/en' || path AS alternate_en, '{SITE}/es' || path AS x_default
-        FROM p, (SELECT unnest(['es', 'en']) AS locale)""",
+        FROM q LEFT JOIN v ON path = '/sounds/' || slug, (SELECT unnest(['es', 'en']) AS locale)""",
     "key_parity": """SELECT key, 'left' AS side FROM (SELECT c_custkey AS key FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000)
         UNION ALL SELECT key, 'right' FROM (SELECT o_custkey AS key FROM orders WHERE o_totalprice > 250000 EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0)""",
     "retention": "SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY event_type",
     "misc_numeric": """SELECT p_partkey, greatest(1, floor(w * s + 0.5::DOUBLE))::BIGINT AS width, greatest(1, floor(h * s + 0.5::DOUBLE))::BIGINT AS height,
             greatest(0, ceil(20 - p_size * 0.7::DOUBLE))::BIGINT AS seconds_left, floor((p_partkey % 6 + 1) / 6 * 100 + 0.5::DOUBLE)::BIGINT AS progress
         FROM (SELECT *, least(1::DOUBLE, 1024 / greatest(w, h)) AS s FROM (SELECT *, p_size * 100::DOUBLE AS w, p_retailprice AS h FROM part))""",
-    "manifest_accept": "SELECT * FROM (VALUES ('a', true, 2::BIGINT), ('b', false, 0), ('c', false, 0), ('d', false, 0)) t(name, accepted, n_classes)",
+    "manifest_accept": f"""SELECT doc_id, {_MANIFEST_OK} AS accepted, CASE WHEN doc_id % 7 = 0 OR doc_id % 4 = 0 THEN 0 ELSE 1 + doc_id % 3 END::BIGINT AS n_classes FROM documents""",
     "ingest_valid": f"WITH {_BATCH} SELECT user_id, batch, n, first_ts FROM b WHERE reason IS NULL",
     "ingest_quarantine": f"WITH {_BATCH} SELECT user_id, batch, reason FROM b WHERE reason IS NOT NULL",
 }

@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vocalith.operators import folds
+from vocalith.operators.shared import job_dir
+from vocalith.streaming import ordered
+from vocalith.streaming.deltas import DeltaStore
 
 #: How late a request may come before it is let go.
 LATEST = "1 day"
-
-
-def job_dir(spark: SparkSession, name: str) -> str:
-    """A folder that all executors share: under spark.checkpoint.dir where it is named, which only a local session may leave out."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = os.path.join(tempfile.gettempdir(), "vocalith")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4()}"
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: A time after all others, by which the watermark passes whatever still waits.
+END = "2200-01-01 00:00:00"
+#: Timers on keyed state need this store.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def source(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
@@ -41,63 +27,108 @@ def source(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame
 
 def finish(stream: DataFrame, folder: str, write: object, mode: str = "append") -> None:
     """Run ``stream`` through foreachBatch until its source is used up."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+    conf = stream.sparkSession.conf
+    before = conf.get(STORE[0], None)
+    conf.set(*STORE)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
+    finally:
+        if before is None:
+            conf.unset(STORE[0])
+        else:
+            conf.set(STORE[0], before)
+
+
+def _limit_step(limit: int, window: int) -> object:
+    def step(t: np.ndarray, ids: np.ndarray, state: tuple[int, int] | None) -> ordered.Outcome:
+        number, ends, held = folds.counted(t, state, window)
+        return {"event_id": ids, "ok": number <= limit, "remaining": (limit - number).clip(0), "reset_at": ends}, held, held[1]
+
+    return step
 
 
-def limited(requests: DataFrame, limit: int, window: int) -> DataFrame:
+def limited(requests: DataFrame, limit: int, window: int, bucket: int = 600_000) -> DataFrame:
     """ok, remaining and reset_at of a stream of requests (user_id, event_id, t, ts), state kept for each user.
 
-    The rows of a user in one micro-batch are sorted before they are counted; requests later than
-    ``LATEST`` are let go.  A user's state ends with its window, when the watermark passes it.
+    Requests are counted in order of time once the watermark has passed them, in whatever order they come; those later
+    than ``LATEST`` are let go.  A user's state ends with its window, when the watermark passes it.
     """
+    fold = ordered.InOrder(_limit_step(limit, window), lambda state: ({}, None, None), "count long, reset_at long", bucket, ["event_id", "ok", "remaining", "reset_at"])
+    return ordered.in_order(requests, "user_id", LATEST, fold, "event_id long, ok boolean, remaining long, reset_at long")
 
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(chunks)).sort_values(["t", "event_id"])
-        number, ends, held = folds.counted(rows.t.to_numpy(), state.get if state.exists else None, window)
-        if held[1] > state.getCurrentWatermarkMs():
-            state.update(held)
-            state.setTimeoutTimestamp(held[1])
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"event_id": rows.event_id.to_numpy(), "ok": number <= limit, "remaining": (limit - number).clip(0), "reset_at": ends})
-
-    return (
-        requests.withWatermark("ts", LATEST)
-        .groupBy("user_id")
-        .applyInPandasWithState(run, "event_id long, ok boolean, remaining long, reset_at long", "count long, reset_at long", "append", GroupStateTimeout.EventTimeTimeout)
-    )
 
+def _batch_steps(size: int, wait: int) -> tuple[object, object]:
+    """The steps of batches that close at ``size`` events or ``wait`` after their first one.
 
-def rate_limits(spark: SparkSession, sf_dir: str, limit: int, window: int) -> DataFrame:
-    folder, ts = job_dir(spark, "limits"), F.col("ts").cast("timestamp")
-    requests = source(spark, sf_dir).select("user_id", "event_id", F.unix_millis(ts).alias("t"), ts.alias("ts"))
-    # The batch id names the folder, so a batch that runs again replaces what it wrote.
-    finish(limited(requests, limit, window), folder, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    The state is the number, first time, first id, count and sum of ids of the open batch, or, with a count of 0, of the next one.
+    """
+    names = ("batch", "first_t", "first_id", "n", "ids")
 
+    def out(rows: list[tuple[int, ...]]) -> dict[str, np.ndarray]:
+        return dict(zip((*names, "full"), np.array(rows, np.int64).reshape(-1, 6).T, strict=True))
 
-def priors(spark: SparkSession, sf_dir: str, corrections: object) -> DataFrame:
-    """Counts of corrections by subject and class, upserted from the stream's updates.
+    def step(t: np.ndarray, ids: np.ndarray, state: tuple[int, ...] | None) -> ordered.Outcome:
+        batch, first_t, first_id, n, total = state or (0, 0, 0, 0, 0)
+        made, i = [], 0
+        while i < len(t):
+            if not n:
+                first_t, first_id, total = int(t[i]), int(ids[i]), 0
+            j = min(int(np.searchsorted(t, first_t + wait)), i + size - n)
+            n, total, i = n + j - i, total + int(ids[i:j].sum()), j
+            if n == size or i < len(t):
+                made.append((batch, first_t, first_id, n, total, n == size))
+                batch, n = batch + 1, 0
+        return out(made), (batch, first_t, first_id, n, total), first_t + wait if n else None
+
+    def wake(state: tuple[int, ...]) -> ordered.Outcome:
+        return out([(*state, 0)]), (state[0] + 1, 0, 0, 0, 0), None
+
+    return step, wake
 
-    Each batch writes the table anew under its number, from the one before it, and drops the one before that.
+
+def batched(events: DataFrame, size: int = 50, wait: int = 5_000, latest: str = "1 minute", bucket: int = 1_000) -> DataFrame:
+    """The batches of a stream of events (user_id, event_id, t, ts): user_id, batch, first_t, first_id, n, ids (their sum) and whether it was full.
+
+    A batch closes with its ``size``-th event or, by a timer, ``wait`` milliseconds after its first one.
     """
-    folder, last = job_dir(spark, "priors"), {}
-    counts = corrections(source(spark, sf_dir)).where("cls is not null").groupBy("cat_id", "cls").count()
+    step, wake = _batch_steps(size, wait)
+    fold = ordered.InOrder(step, wake, "batch long, first_t long, first_id long, n long, ids long", bucket, ["batch", "first_t", "first_id", "n", "ids", "full"])
+    return ordered.in_order(events, "user_id", latest, fold, "batch long, first_t long, first_id long, n long, ids long, full long")
 
-    def write(df: DataFrame, n: int) -> None:
-        made = df.select("cat_id", "cls", F.col("count").alias("n"))
-        if n:
-            made = made.union(df.sparkSession.read.parquet(f"{folder}/table-{n - 1}").join(df, ["cat_id", "cls"], "left_anti"))
-        made.write.mode("overwrite").parquet(f"{folder}/table-{n}")
-        remove(spark, f"{folder}/table-{n - 2}")
-        last["n"] = n
 
-    finish(counts, folder, write, "update")
-    return spark.read.parquet(f"{folder}/table-{last['n']}")
+def to_the_end(spark: SparkSession, rows: DataFrame, transform: object, folder: str) -> DataFrame:
+    """What ``transform`` makes of the stream ``rows`` (with event_id, t and ts), read to its end and then past all times.
+
+    A second source gives a row of the far future, without an id, once the first is used up, so
+    that the watermark passes all that still waits.
+    """
+    end = rows.schema
+    last = spark.range(1).select(*[F.lit(END).cast("timestamp").alias(f.name) if f.name == "ts" else F.unix_millis(F.lit(END).cast("timestamp")).alias("t") if f.name == "t" else F.lit(None).cast(f.dataType).alias(f.name) for f in end])
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/end")
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    both = transform(rows.union(spark.readStream.schema(end).parquet(f"{folder}/end")))
+    # The batch id names the folder, so a batch that runs again replaces what it wrote.
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    finish(both, folder, write)
+    last.coalesce(1).write.mode("append").parquet(f"{folder}/end")
+    finish(both, folder, write)
+    return spark.read.parquet(f"{folder}/out")
+
+
+def rate_limits(spark: SparkSession, sf_dir: str, limit: int, window: int) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    requests = source(spark, sf_dir).select("user_id", "event_id", F.unix_millis(ts).alias("t"), ts.alias("ts"))
+    return to_the_end(spark, requests, lambda r: limited(r, limit, window), job_dir(spark, "limits")).drop("batch")
+
+
+def priors(spark: SparkSession, sf_dir: str, corrections: object) -> DataFrame:
+    """Counts of corrections by subject and class, upserted from the stream's updates into a store of a base and deltas."""
+    folder = job_dir(spark, "priors")
+    counts = corrections(source(spark, sf_dir)).where("cls is not null").groupBy("cat_id", "cls").count()
+    store = DeltaStore(spark, f"{folder}/table", "cat_id long, cls string, n long", ["cat_id", "cls"])
+    finish(counts, folder, lambda df, n: store.write(df.select("cat_id", "cls", F.col("count").alias("n")), n), "update")
+    return store.read()
 
 
 def two_stores(spark: SparkSession, rows: DataFrame, folder: str) -> None:
@@ -117,4 +148,4 @@ def two_stores(spark: SparkSession, rows: DataFrame, folder: str) -> None:
 
 def committed(spark: SparkSession, folder: str, store: str) -> DataFrame:
     done = spark.read.parquet(f"{folder}/commits/*")
-    return spark.read.parquet(f"{folder}/{store}").join(F.broadcast(done), "batch", "left_semi").drop("batch")
+    return spark.read.parquet(f"{folder}/{store}").join(done, "batch", "left_semi").drop("batch")
