@@ -18,6 +18,14 @@ def streaming_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.rate_limits(spark, sf_dir, 2, sequence.DAY // 2)
 
 
+def streaming_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of each user's events that close by count or by a timer, as a stream makes them; 5 fill one, and hours stand for seconds."""
+    ts = F.col("ts").cast("timestamp")
+    events = jobs.source(spark, sf_dir).select("user_id", "event_id", F.unix_millis(ts).alias("t"), ts.alias("ts"))
+    made = jobs.to_the_end(spark, events, lambda e: jobs.batched(e, size=5, wait=sequence.DAY // 2, latest="1 day", bucket=3_600_000), jobs.job_dir(spark, "batches"))
+    return made.select("first_id", "first_t", "n", "ids", (F.col("full") == 1).alias("full"))
+
+
 def streaming_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(c) for c in S.CLASSES])
     corrections = lambda e: e.select(F.col("user_id").alias("cat_id"), F.get(names, F.pmod("event_id", F.lit(12)).cast("int")).alias("cls"))
@@ -71,11 +79,16 @@ def sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.max(name).alias("last_name"))
 
 
-QUERIES = {f.__name__: f for f in (streaming_rate_limit, streaming_priors, plugin_scorer, sink_round_trip)}
+QUERIES = {f.__name__: f for f in (streaming_rate_limit, streaming_batches, streaming_priors, plugin_scorer, sink_round_trip)}
 
 _CLS = "[" + ", ".join(f"'{c if c in S.CLASSES else S.UNKNOWN}'" for c in OUTPUTS) + "]"
 ORACLE_SQL = {
     "streaming_rate_limit": f"WITH RECURSIVE {sequence._LIMIT.format(n='h', ms=sequence.DAY // 2).replace('epoch_ms(ts)', 'epoch_us(ts) // 1000')} SELECT event_id, k <= 2 AS ok, greatest(0, 2 - k) AS remaining, reset AS reset_at FROM h",
+    "streaming_batches": f"""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+        s AS (SELECT a.user_id, a.k, least(a.k + 5, coalesce((SELECT min(b.k) FROM o b WHERE b.user_id = a.user_id AND b.t >= a.t + {sequence.DAY // 2}), 1000000000)) AS next FROM o a),
+        w AS (SELECT user_id, k, next FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.k, s.next FROM w JOIN s ON s.user_id = w.user_id AND s.k = w.next)
+        SELECT arg_min(event_id, o.k) AS first_id, min(t) AS first_t, count(*) AS n, sum(event_id)::BIGINT AS ids, count(*) = 5 AS "full"
+        FROM w JOIN o ON o.user_id = w.user_id AND o.k >= w.k AND o.k < w.next GROUP BY w.user_id, w.k""",
     "streaming_priors": "SELECT user_id AS cat_id, [" + ", ".join(f"'{c}'" for c in S.CLASSES) + "][(event_id % 12 + 1)::INT] AS cls, count(*) + 1.0::DOUBLE AS alpha FROM events WHERE event_id % 12 < 10 GROUP BY ALL",
     "plugin_scorer": f"""WITH x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
         h AS (SELECT vec_id, j, greatest(0, sum(v * sin(i * 8 + j)) + cos(j)) AS h FROM x, range(8) t(j) GROUP BY vec_id, j),
