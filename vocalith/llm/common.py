@@ -12,6 +12,11 @@ WHITE = " \t\n\x0b\f\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]+"
 #: Rows of a few numbers, so some 2 MB, up to which a side of a join is broadcast.
 BROADCAST_ROWS = 20_000
+#: Bytes of a column of texts or sets up to which a side is broadcast.
+BROADCAST_BYTES = 16 << 20
+#: Rows of two or three numbers, some 5 MB, up to which such a table is broadcast; and how many rows a partition of a tidy table may have.
+BROADCAST_PAIRS = 200_000
+TIDY_ROWS = 20_000
 #: A key with more than this part of all rows is hot; so there are at most as many hot keys.
 HOT = 1024
 
@@ -43,6 +48,21 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` settled, in as few partitions as its rows need, and how many rows it has.
+
+    What is small enough for one partition is then grouped and joined there without being shuffled.
+    """
+    made = settle(df)
+    n = made.count()
+    return made.coalesce(max(1, -(-n // TIDY_ROWS))), n
+
+
+def few(df: DataFrame, n: int) -> DataFrame:
+    """``df``, rows of a few numbers, to be broadcast if its ``n`` rows are not too many."""
+    return F.broadcast(df) if n <= BROADCAST_PAIRS else df
+
+
 def qualified(spark: SparkSession, folder: str) -> str:
     """``folder`` with the file system that the driver takes it to be on, so that executors write to the same one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -50,13 +70,13 @@ def qualified(spark: SparkSession, folder: str) -> str:
     return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``df`` as a table in ``folder`` and go on from it.
+def stored(df: DataFrame, folder: str, name: str, parts: int) -> DataFrame:
+    """Write ``df`` as a table of ``parts`` files in ``folder`` and go on from it.
 
     Unlike a settled table it keeps nothing of how its plan was partitioned, which rounds of joins would multiply.
     """
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    df.coalesce(parts).write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}").coalesce(parts)
 
 
 def remove(spark: SparkSession, folder: str) -> None:
@@ -85,17 +105,22 @@ def by_row(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "_id", how)
 
 
-def skew_join(rows: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
+def skew_join(rows: DataFrame, of: DataFrame, keys: list[str], wide: Column | None = None) -> DataFrame:
     """``rows`` joined with ``of``, which has a row for each key and in ``n`` how many of ``rows`` have it.
 
     A table ``of`` of few rows is broadcast.  Otherwise the rows of hot keys meet theirs by
     broadcast, of which there are at most ``HOT``, and only the others are shuffled, so no task
-    gets all rows of a hot key.  Both sides are read more than once and should be settled.
+    gets all rows of a hot key.  If ``of`` has ``wide`` bytes in a row, they count too: beyond ``BROADCAST_BYTES``
+    nothing is broadcast, and a hot key is left to Spark to split.  Both sides are read more than once and should be settled.
     """
-    size = of.agg(F.count("*").alias("keys"), F.sum("n").alias("n")).first()
-    if size.keys <= BROADCAST_ROWS:
+    weight = F.lit(0) if wide is None else F.sum(wide)
+    size = of.agg(F.count("*").alias("keys"), F.sum("n").alias("n"), weight.alias("bytes")).first()
+    if size.keys <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(of.drop("n")), keys)
-    hot = F.broadcast(of.where(F.col("n") * HOT > size.n).drop("n"))
+    hot = of.where(F.col("n") * HOT > size.n).drop("n")
+    if wide is not None and (hot.agg(weight).first()[0] or 0) > BROADCAST_BYTES:
+        return rows.join(of.drop("n"), keys)
+    hot = F.broadcast(hot)
     cold = of.where(F.col("n") * HOT <= size.n).drop("n")
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 
