@@ -45,7 +45,7 @@ def _spans(rows: DataFrame, key: str) -> DataFrame:
     counts = rows.groupBy(F.col(key).alias("_key"), F.col("_stretch").alias("_at")).agg(F.count("*").alias("_n"))
     by = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumns({"_base": F.coalesce(F.sum("_n").over(by), F.lit(0)), "_of": F.count("*").over(Window.partitionBy("_key"))})
-    return settle(counts.where("_of > 1").select("_key", "_at", "_base"))
+    return counts.where("_of > 1").select("_key", "_at", "_base")
 
 
 def _segments(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[object, pa.RecordBatch]]:
@@ -95,7 +95,7 @@ def scan(df: DataFrame, key: str, order: list[str], needs: str, step: Callable,
             state = compose(state, pickle.loads(s))  # noqa: S301
         return pd.DataFrame({"_key": group["_key"], "_at": group["_at"], "_state": states})
 
-    states = settle(sums.groupBy("_key").applyInPandas(carry, StructType([fields[0], *StructType.fromDDL("_at int, _state binary")])))
+    states = sums.groupBy("_key").applyInPandas(carry, StructType([fields[0], *StructType.fromDDL("_at int, _state binary")]))
     cols, names = df.columns, [x.split()[0] for x in outputs.split(", ")]
     at, of = cols.index(key), cols.index(needs)
 
