@@ -40,6 +40,15 @@ def test_classification_rules(spark):
     assert (d.primary.cls, d.primary.probability) == ("unknown", 1.0)
 
 
+def test_ranks_as_sql_has_them(spark):
+    """A score that overflows gives NaN, which is greatest, as in SQL; what differs in the last digits only is a tie."""
+    high = F.array(F.lit(0.1), F.lit(500.0), *[F.lit(0.2)] * 8)
+    c = one(spark, S.unknown_policy(S.classification(S.ranked(S.distribution(high)))).alias("c")).c
+    assert (c.primary.cls, c.certainty, c.ambiguous, c.alternatives) == ("trinos", "high", False, []) and c.primary.probability != c.primary.probability
+    near = one(spark, S.ranked(dist(("trinos", 0.3), ("dolor", 0.1 + 0.2), ("pelea", 0.4), ("atencion", None))).alias("r")).r
+    assert [x.cls for x in near] == ["pelea", "trinos", "dolor", "atencion"]
+
+
 @pytest.mark.parametrize("n,mine,others", [(0, 1, 1), (1, 1 + 0.5 * (20 / 11 - 1), 1 + 0.5 * (10 / 11 - 1)), (8, 2, 1 + 0.5 * (10 / 18 - 1)), (200, 2, 1 + 0.5 * (10 / 210 - 1))])
 def test_prior_factors(spark, n, mine, others):
     even = F.array(*[S.score(c, F.lit(1 / 11)) for c in (*S.CLASSES, S.UNKNOWN)])
