@@ -47,6 +47,9 @@ def test_ranks_as_sql_has_them(spark):
     assert (c.primary.cls, c.certainty, c.ambiguous, c.alternatives) == ("trinos", "high", False, []) and c.primary.probability != c.primary.probability
     near = one(spark, S.ranked(dist(("trinos", 0.3), ("dolor", 0.1 + 0.2), ("pelea", 0.4), ("atencion", None))).alias("r")).r
     assert [x.cls for x in near] == ["pelea", "trinos", "dolor", "atencion"]
+    # The first is half of a last digit, to the last bit; SQL rounds it away from zero.
+    half = one(spark, S.ranked(dist(("feliz_contento", 0.249018922692805), ("pelea", 0.24901892269280523))).alias("r")).r
+    assert [x.cls for x in half] == ["feliz_contento", "pelea"]
 
 
 @pytest.mark.parametrize("n,mine,others", [(0, 1, 1), (1, 1 + 0.5 * (20 / 11 - 1), 1 + 0.5 * (10 / 11 - 1)), (8, 2, 1 + 0.5 * (10 / 18 - 1)), (200, 2, 1 + 0.5 * (10 / 210 - 1))])

@@ -101,7 +101,7 @@ def blend(dist: Column, alphas: Column) -> Column:
 
 def ranked(dist: Column) -> Column:
     """The distribution by falling probability, NaN first and null last; ties, to 14 digits, keep the order of the classes."""
-    keyed = F.transform(dist, lambda x, i: F.struct(F.rint(x.probability * 1e14).alias("n"), (-i).alias("i"), x.alias("x")))
+    keyed = F.transform(dist, lambda x, i: F.struct(F.round(x.probability * 1e14).alias("n"), (-i).alias("i"), x.alias("x")))
     return F.transform(F.sort_array(keyed, asc=False), lambda k: k.x)
 
 
