@@ -12,6 +12,7 @@ from vocalith.functions import scoring as S
 from vocalith.functions import signals as G
 from vocalith.functions import text as T
 from vocalith.operators import layout, priors, shared
+from vocalith.plans import signal
 from vocalith.sources import audio
 
 
@@ -155,3 +156,13 @@ def test_rules_do_better_than_chance_on_calls(spark):
     best = table.select("truth", S.ranked(F.slice(S.distribution(S.rule_scores()), 1, len(S.CLASSES)))[0]["cls"].alias("predicted"))
     macro = priors.f1_by_class(best).first().macro_f1
     assert macro >= 0.2, macro
+
+
+def test_clips_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """A file of few bytes is read by one task, but its clips are made by many, few at a time."""
+    spark.range(40).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(signal, "TASK_CLIPS", 4)
+    rows = signal.labels(spark, str(tmp_path)).select("label", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.label for r in rows) == list(range(40))
+    per = [sum(r.task == t for r in rows) for t in {r.task for r in rows}]
+    assert len(per) >= 10 and max(per) <= 8

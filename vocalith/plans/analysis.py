@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,13 +69,7 @@ def odd_clip(i: int) -> tuple[str, bytes]:
 def analyze_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips written as files, one for each supplier, read back, analyzed and classified."""
     folder = jobs.job_dir(spark, "clips")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([odd_clip(int(i)) for i in b.label], columns=["path", "content"])
-
-    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("label"))
-    audio.save(s.mapInPandas(run, "path string, content binary"), folder)
+    audio.save(signal.clips_of(signal.labels(spark, sf_dir), odd_clip), folder)
     name = F.substring_index("path", "/", -1)
     clips = audio.files(spark, folder).withColumn("path", name)
     number = F.regexp_extract("path", r"-(\d+)\.", 1).cast("long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -94,14 +94,29 @@ def tone_clip(i: int) -> bytes:
     return _wav(x, rate, channels)
 
 
-def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Clips of a task, and of a batch that a task makes at once; a clip has up to some 0.7 MB.
+TASK_CLIPS, BATCH_CLIPS = 256, 32
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clip's ``label`` for each supplier, dealt to tasks by number: a file of few bytes makes very many clips, which would all fall to the task that reads it."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("label"))
+    return s.repartition(max(spark.sparkContext.defaultParallelism, -(-s.count() // TASK_CLIPS)))
+
+
+def clips_of(rows: DataFrame, make: Callable[[int], tuple[str, bytes]]) -> DataFrame:
+    """path and content that ``make`` gives for each ``label``, a few at a time."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"path": [f"clip-{i}.wav" for i in b.label], "content": [tone_clip(int(i)) for i in b.label]})
+            for at in range(0, len(b), BATCH_CLIPS):
+                yield pd.DataFrame([make(int(i)) for i in b.label[at : at + BATCH_CLIPS]], columns=["path", "content"])
 
-    # one clip for each supplier
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("label"))
-    return s.mapInPandas(run, "path string, content binary")
+    return rows.mapInPandas(run, "path string, content binary")
+
+
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clips_of(labels(spark, sf_dir), lambda i: (f"clip-{i}.wav", tone_clip(i)))
 
 
 def wav_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
