@@ -72,3 +72,16 @@ def test_first_fault(spark, cases, error):
     rows = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(cases)], "i int, p string")
     got = {r.i: r.e for r in rows.select("i", error(F.col("p")).alias("e")).collect()}
     assert [got[i] for i in range(len(cases))] == [e for _, e in cases]
+
+
+def test_payloads_are_parsed_once(spark):
+    """However many fields are checked; and objects are told without the schema of all that they hold."""
+    rows = spark.createDataFrame([("{}",)], "payload string")
+    for check in (C.features_error, C.session_error, C.assistant_error, C.feedback_error):
+        plan = rows.select(check(F.col("payload")).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parse_json") + plan.count("parseJson") == 1
+    bad = spark.createDataFrame([("[]",), ("3",), (None,), ("{",), ("null",)], "payload string")
+    assert {r.e for r in bad.select(C.assistant_error(F.col("payload")).alias("e")).collect()} == {"$"}
+    odd = [("[]", "$.context"), ("null", "$.context"), ("{}", None), ('{"vaccines": {}}', "$.context.vaccines"), ('{"vaccines": [3]}', "$.context.vaccines"), ('{"vaccines": null}', "$.context.vaccines"), ('{"vaccines": []}', None)]
+    made = spark.createDataFrame([('{"mode": "meow", "locale": "en", "question": "q", "context": ' + x + "}", w) for x, w in odd], "payload string, want string")
+    assert [(r.e, r.want) for r in made.select(C.assistant_error(F.col("payload")).alias("e"), "want").collect() if r.e != r.want] == []
