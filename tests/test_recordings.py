@@ -11,7 +11,7 @@ from vocalith.functions import generators as N
 from vocalith.functions import scoring as S
 from vocalith.functions import signals as G
 from vocalith.functions import text as T
-from vocalith.operators import layout, priors, shared
+from vocalith.operators import blocks, layout, priors, shared
 from vocalith.plans import signal
 from vocalith.sources import audio
 
@@ -166,3 +166,13 @@ def test_clips_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
     assert sorted(r.label for r in rows) == list(range(40))
     per = [sum(r.task == t for r in rows) for t in {r.task for r in rows}]
     assert len(per) >= 10 and max(per) <= 8
+
+
+def test_blocks_are_held_a_few_at_a_time(spark, monkeypatch):
+    """Partitions of placed blocks, which Python may get at once, are as many as their samples need."""
+    rows = spark.range(300).select(F.lit("a").alias("clip"), F.col("id").alias("at"), F.array_repeat(F.col("id").cast("double"), 100).alias("samples"))
+    monkeypatch.setattr(blocks, "PART_SAMPLES", 1000)
+    got = blocks.placed(rows, "clip", ["at"], "samples").select("start", "samples", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r.start, r.samples[0]) for r in got) == [(100 * i, float(i)) for i in range(300)]
+    per = [sum(r.part == p for r in got) for p in {r.part for r in got}]
+    assert len(per) >= 20 and max(per) <= 40

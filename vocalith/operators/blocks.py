@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 from vocalith.operators.segments import HOP, SIZE
 
 PEAK, SILENT = 0.891, 1e-6
+#: Samples, 16 MB, that a partition holds if blocks are alike; Python gets up to 10,000 rows of it at once, so all.
+PART_SAMPLES = 1 << 21
 
 
 def placed(blocks: DataFrame, clip: str, order: list[str], samples: str) -> DataFrame:
@@ -31,7 +33,8 @@ def placed(blocks: DataFrame, clip: str, order: list[str], samples: str) -> Data
         ends = (before or 0) + np.cumsum(n.to_numpy())
         return [pa.array(ends - n.to_numpy())], int(ends[-1])
 
-    made = folds.scan(rows, "clip", order, "n", step, lambda pieces, base: sum(int(p.to_numpy().sum()) for p in pieces), lambda total, n: (total or 0) + n, "start long")
+    parts = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-(rows.agg(F.sum("n")).first()[0] or 0) // PART_SAMPLES))
+    made = folds.scan(rows, "clip", order, "n", step, lambda pieces, base: sum(int(p.to_numpy().sum()) for p in pieces), lambda total, n: (total or 0) + n, "start long", parts)
     return made.select("clip", "start", "samples")
 
 

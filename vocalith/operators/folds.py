@@ -31,9 +31,9 @@ ALPHA, WARM, LEAST = 0.3, 6.25, 7
 BLOCK = 64
 
 
-def stretches(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """``df`` sorted by key and order over all partitions, settled, with the number ``_stretch`` of each row's partition."""
-    placed = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+def stretches(df: DataFrame, key: str, order: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` sorted by key and order over all partitions, or ``parts`` of them, settled, with the number ``_stretch`` of each row's partition."""
+    placed = (df.repartitionByRange(parts, key, *order) if parts else df.repartitionByRange(key, *order)).sortWithinPartitions(key, *order)
     return settle(placed.withColumn("_stretch", F.spark_partition_id()))
 
 
@@ -58,13 +58,13 @@ def _segments(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[obje
                 yield batch.column(at)[int(a)].as_py(), batch.slice(int(a), int(b - a))
 
 
-def scan(df: DataFrame, key: str, order: list[str], needs: str, step: Callable, summary: Callable, compose: Callable, outputs: str) -> DataFrame:
-    """``fold`` with a key's rows in many tasks.
+def scan(df: DataFrame, key: str, order: list[str], needs: str, step: Callable, summary: Callable, compose: Callable, outputs: str, parts: int | None = None) -> DataFrame:
+    """``fold`` with a key's rows in many tasks; wide rows want ``parts`` so many that one is held at once.
 
     ``summary(pieces, base)`` sums up the pieces of ``needs`` of a key in one stretch, before which the key has ``base`` rows;
     ``compose(state, summary)`` is the state after it.
     """
-    rows = stretches(df, key, order)
+    rows = stretches(df, key, order, parts)
     spans = _spans(rows, key)
     here = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_at"))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as pt
@@ -39,16 +42,19 @@ def parity_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", "kind", F.col("i").cast("long").alias("i"), F.round(x.cast("double"), 6).alias("x"))
 
 
-@F.udf(returnType=pt.ArrayType(pt.DoubleType()), useArrow=True)
-def _loudness(text: str | None, silent: bool) -> list[float]:
-    points = np.frombuffer((text or "").encode("utf-32-le"), "<u4")
-    return (np.zeros(len(points)) if silent else (points % 64) / 64.0).tolist()
-
-
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A long recording of each language, a document's code points a block of it; a third of the documents is silence."""
-    docs = _t(spark, sf_dir, "documents")
-    return docs.select("lang", "doc_id", _loudness(F.col("text"), F.col("doc_id") % 3 == 0).alias("samples"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, i, text in zip(*batch.columns, strict=True):  # a document at a time, as arrays and not as lists of numbers
+                points = np.frombuffer((text.as_py() or "").encode("utf-32-le"), "<u4")
+                x = np.zeros(len(points)) if i.is_valid and i.as_py() % 3 == 0 else (points % 64) / 64.0
+                samples = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()], lang.type), pa.array([i.as_py()], i.type), samples], ["lang", "doc_id", "samples"])
+
+    docs = _t(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    return docs.mapInArrow(run, pt.StructType([docs.schema["lang"], docs.schema["doc_id"], pt.StructField("samples", pt.ArrayType(pt.DoubleType()))]))
 
 
 def long_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
