@@ -126,3 +126,13 @@ def test_hot_keys(spark, monkeypatch):
         got = common.skew_join(rows, of, ["k"])
         assert got.columns == ["k", "id", "m"]
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(of.drop("n"), "k").collect()))
+
+
+def test_the_smallest_fingerprint_belongs_to_its_group(spark, monkeypatch):
+    """The group's smallest doc_id need not be at its smallest fingerprint, as numbers with a sign."""
+    edges = spark.createDataFrame([(-5, 3), (3, 8), (10, 11)], "u long, v long")
+    assert {tuple(r) for r in simhash.components(edges).collect()} == {(-5, -5), (3, -5), (8, -5), (10, 10), (11, 10)}
+    rows = [(7, 0b1000), (2, 0b1011), (4, 0b11011), (9, 0xFF << 40)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.select("doc_id", F.col("text").cast("long").alias("fp")))
+    docs = spark.createDataFrame([(i, str(f)) for i, f in rows], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()} == {(7, 2), (2, 2), (4, 2), (9, 9)}

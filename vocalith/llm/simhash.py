@@ -143,7 +143,9 @@ def components(edges: DataFrame) -> DataFrame:
         edges = settle(small.select(F.col("m").alias("u"), F.col("a").alias("v")).distinct())
         now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if now == seen:
-            return edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
+            # The smallest node of a component is at no edge's far end.
+            ends = edges.select(F.explode(F.array(F.struct(F.col("v").alias("node"), "u"), F.struct(F.col("u").alias("node"), "u"))).alias("e")).select("e.*")
+            return ends.groupBy("node").agg(F.min("u").alias("component"))
         seen = now
 
 
