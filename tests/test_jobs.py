@@ -1,11 +1,13 @@
 """Streams over files in any order, the delta store, observed metrics."""
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vocalith.streaming import deltas, jobs, metrics
+from vocalith.streaming import deltas, jobs, metrics, ordered
 from tests.test_scans import batches_of
 
 START = 1_704_067_200_000
@@ -67,6 +69,75 @@ def test_batches_close_by_count_and_by_timer(spark, tmp_path):
     assert got == sorted(want) and {w[4] for w in want} == {0, 1}
 
 
+@pytest.mark.parametrize("few", [1, 40, 1 << 14])
+def test_ordered_state_costs_few_accesses(few):
+    """Rows of many keys over many buckets, within one value of a group or in slabs: a plain fold's outcome with few accesses to state."""
+    rng = random.Random(few)
+    rows = sorted({(START + rng.randrange(4_000_000), i) for i in range(400)})
+    keys = {i: rng.randrange(20) - 5 for _, i in rows}
+    step, wake = jobs._batch_steps(3, 20_000)
+    fold = ordered.InOrder(step, wake, "batch long, first_t long, first_id long, n long, ids long", 1_000, ["first_t", "first_id", "n", "ids"], few)
+    handle = Handle()
+    fold.init(handle)
+    got = []
+    for a in range(0, 400, 100):
+        part = rows[a : a + 100]
+        rng.shuffle(part)
+        frame = pd.DataFrame([(keys[i], t, i) for t, i in part], columns=["of", "t", "event_id"])
+        list(fold.handleInputRows((7,), iter([frame[:60], frame[60:]]), None))
+        got += handle.fire(fold, max(t for t, _ in part) - 30_000)
+    got += handle.fire(fold, START + 10_000_000)
+    want = []
+    for key in set(keys.values()):
+        mine = [(t, i) for t, i in rows if keys[i] == key]
+        parts = {}
+        for (t, i), b in zip(mine, batches_of([t for t, _ in mine], 3, 20_000), strict=True):
+            parts.setdefault(b, []).append((t, i))
+        want += [(*p[0], len(p), sum(i for _, i in p)) for p in parts.values()]
+    assert sorted(got) == sorted(want) and not handle.timers and not handle.slabs
+    if few > 400:
+        assert handle.accesses <= 4 * 10
+
+
+class Handle:
+    """A group's state, which counts how often it is accessed."""
+
+    def __init__(self):
+        self.slabs, self.held, self.timers, self.accesses = {}, None, set(), 0
+
+    def _count(self, f):
+        def run(*args):
+            self.accesses += 1
+            return f(*args)
+
+        return run
+
+    def getMapState(self, *_):
+        of = {"getValue": lambda k: (self.slabs[k],), "containsKey": lambda k: k in self.slabs, "updateValue": lambda k, v: self.slabs.__setitem__(k, v[0]), "removeKey": lambda k: self.slabs.pop(k), "keys": lambda: iter(list(self.slabs))}
+        return SimpleNamespace(**{n: self._count(f) for n, f in of.items()})
+
+    def getValueState(self, *_):
+        of = {"get": lambda: self.held, "update": lambda v: setattr(self, "held", v), "clear": lambda: setattr(self, "held", None)}
+        return SimpleNamespace(**{n: self._count(f) for n, f in of.items()})
+
+    def registerTimer(self, at):
+        self.accesses += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.accesses += 1
+        self.timers.remove(at)
+
+    def fire(self, fold, watermark):
+        due = sorted(t for t in self.timers if t <= watermark)
+        made = []
+        for at in due:
+            self.timers.discard(at)
+            for df in fold.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), None):
+                made += list(df.itertuples(index=False, name=None))
+        return made
+
+
 def test_delta_store(spark, tmp_path):
     folder = str(tmp_path / "store")
     store = deltas.DeltaStore(spark, folder, "k long, v string", ["k"], every=3)
