@@ -70,3 +70,21 @@ def test_groups_of_the_small_table_are_exact(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = sorted(r.doc_id for r in similar.keep_one(docs).select("doc_id").collect())
     assert kept == sorted(min(g) for g in groups_of({r.doc_id: r.text for r in docs.collect()}))
+
+
+def test_own_shingles_and_the_byte_index(spark):
+    """Copies with too many shingles of their own are compared with none; what the byte-position index finds comes first."""
+    rng = random.Random(7)
+    base = rng.choices(WORDS, k=200)
+    own = lambda i, n: [*base[:100], *(f"own{i}x{k}" for k in range(n)), *base[100 + n :]]
+    texts = {i: " ".join(own(i, 41)) for i in range(60)} | {100: " ".join(base), 101: " ".join([*base, "last"])}
+    rows = identified(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    made = settle(similar.fingerprints(rows.select("_id", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))))
+    fps = settle(made.select(F.struct("doc_id", "_id").alias("best"), "sig", "size", "keys", F.col("doc_id").alias("id")))
+    near = {(r.u, r.v) for r in similar.indexed(fps).collect()}
+    bits = {r.id: int.from_bytes(r.sig[:8], "big") for r in fps.select("id", "sig").collect()}
+    within = {(u, v) for u in texts for v in texts if u < v and (bits[u] ^ bits[v]).bit_count() <= 2}
+    assert near == within and (100, 101) in near
+    found, tested = similar.similar_pairs(fps, rows)
+    assert {tuple(r) for r in tested.collect()} == near
+    assert [tuple(r) for r in found.collect()] == [(100, 101)]

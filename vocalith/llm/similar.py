@@ -1,8 +1,9 @@
 """Near-duplicates at a Jaccard similarity of 0.8 on five-word shingles, by SimHash fingerprints.
 
-At that similarity fingerprints of 64 bits differ in ten bits or so, and no positional bytes
-are sure to be shared; long fingerprints need so many lists of so few bytes that lists fill
-with chance pairs as the table grows.  So candidates come from another index: each text has
+The first 64 bits of the fingerprints go through the byte-position index with count filtering (``simhash.links``).
+What it finds, at 2 or fewer differing bits, is verified and joined.  At a similarity of 0.8 fingerprints of 64 bits differ in
+ten bits or so, and no positional bytes are sure to be shared; long fingerprints need so many lists of so few bytes that lists fill
+with chance pairs as the table grows.  So candidates for what the first index leaves apart come from a second one: each text has
 ``LISTS`` keys, each made from the smallest values that ``ROWS`` independent hash functions
 take on its shingles.  Texts of similarity s share a key with probability
 1 - (1 - s^6)^32: 0.99994 at 0.8 and more above, and keys of 64 bits meet by chance hardly ever.
@@ -10,12 +11,15 @@ Fingerprints of ``BITS`` bits verify the candidates: their differing bits give t
 the two sets of shingles, and with the sizes of the sets their similarity, with a standard
 error of about 0.02 at 0.8.  Pairs within ``UNSURE`` of the limit are decided by the sets.
 
+Hits are counted here too.  Shingles that no other text in a list has can't be shared: a text with more than a fifth of such
+ones is similar to none, and two texts whose other shingles are too few for 0.8 are not compared.  This loses no link.
+
 No list emits all its pairs.  In a round some texts of each list lead: the first, then the next, then more.
 They are compared with the texts behind them, but only with those that the links so far do not
 join to them; a list whose texts have all been joined is left.  Texts in long lists lead first, so a
 text that is similar to many others meets few of them.  No pair is compared twice, and by the end each pair of a list
-has been compared or is joined, so no link is lost that would join groups.  A text that is similar to none
-meets all of its lists.
+has been compared, can't be similar or is joined, so no link is lost that would join groups.  A text that is similar to none, but shares
+most of its shingles, meets all of its lists.
 
 Defined cases: ASCII letters are lower-cased; a null text has no words; fewer than five words are
 one shingle; texts without words are one group; equal texts are one group; a null doc_id is
@@ -31,11 +35,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from vocalith.llm.common import BROADCAST_ROWS, TIDY_ROWS, by_row, few, identified, remove, running_total, settle, shared_dir, skew_join, stored, tidy
+from vocalith.llm import simhash
+from vocalith.llm.common import TIDY_ROWS, few, identified, remove, running_total, settle, shared_dir, skew_join, stored, tidy
 from vocalith.llm.simhash import components
 
 SHINGLE = 5
@@ -52,6 +57,7 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 ONES = np.uint64(0x0101010101010101)
 #: Sums of bits are kept in bytes, so that many shingles are added at once.
 STEP = 255
+LISTED = ["key", "id", "size", "pos", "whole", "shared"]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -191,20 +197,61 @@ def _similar(pairs: DataFrame, fps: DataFrame, sets: DataFrame) -> tuple[DataFra
     return tidy(sure.union(_decided(_both(open_, sets))))
 
 
-def _lists(fps: DataFrame) -> DataFrame:
-    """key and id of the lists with two or more of ``fps``, ``size``, how many, and the place ``pos`` of each in the list from 0 on.
+def indexed(fps: DataFrame) -> DataFrame:
+    """Pairs (u < v) of ``fps`` whose first 64 bits the byte-position index with count filtering finds at 2 or fewer differing bits.
 
-    Texts whose lists are long come first, as they are likely to be similar to many; all lists have this order.
+    Texts with the same 64 bits are each paired with the first of them, which stands for them in pairs with others.
     """
+    bits = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
+    texts = settle(fps.where("size > 0").select("id", bits.alias("fp")))
+    first = settle(texts.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    same = skew_join(texts, first.where("n > 1"), ["fp"]).where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v"))
+    at = lambda side: first.select(F.col("fp").alias(side), F.col("first").alias(f"{side}1"))
+    near = simhash.links(first.select("fp")).join(at("u"), "u").join(at("v"), "v").select(F.least("u1", "v1").alias("u"), F.greatest("u1", "v1").alias("v"))
+    return same.union(near)
+
+
+def _posts(fps: DataFrame) -> DataFrame:
+    """key and id of the lists with two or more of ``fps``."""
     posts = fps.where("size > 0").select("id", F.explode("keys").alias("key"))
     counts = settle(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    lists = settle(skew_join(posts, counts.withColumn("size", F.col("n")), ["key"]))
+    return settle(skew_join(posts, counts, ["key"]))
+
+
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """id, how many shingles it has (``whole``), and how many of them (``shared``) another one of the settled ``sets`` has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.frombuffer(x.as_py(), np.int32) for x in batch.column("set")]
+            ends = pa.array(np.cumsum([0, *map(len, each)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *each])))], ["id", "s"])
+
+    one = sets.mapInArrow(run, "id long, s array<int>").select("id", F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    alone = one.where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    whole = F.floor(F.octet_length("set") / 4).cast("long")
+    return sets.select("id", whole.alias("whole")).join(alone, "id", "left").select("id", "whole", (F.col("whole") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def _may_be_similar(shared: Column, sizes: Column) -> Column:
+    """Whether texts of together ``sizes`` shingles that have ``shared`` in common at most can be similar."""
+    return (1 + SIMILARITY) * shared >= SIMILARITY * sizes - 1e-6
+
+
+def _lists(posts: DataFrame, counts: DataFrame) -> DataFrame:
+    """key and id of the lists with two or more of ``posts`` that can be similar to another, ``size``, how many, the place ``pos`` of each in the list from 0 on, and its ``counts``.
+
+    Texts whose lists are long come first, as they are likely to be similar to many; all lists have this order.
+    """
+    posts = settle(posts.join(counts.where(F.col("shared") >= SIMILARITY * F.col("whole") - 1e-6), "id"))
+    sizes = settle(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    lists = settle(skew_join(posts, sizes.withColumn("size", F.col("n")), ["key"]))
     met = lists.groupBy("id").agg(F.floor(64 * F.log2(F.sum("size"))).alias("met"))
     lists = lists.join(met, "id").withColumn("order", F.xxhash64("id"))
     # A stretch for each number of texts met, in steps of 1 percent, and each of 1024 ranges of the order.
     lists = settle(lists.withColumn("part", F.shiftright("order", 54) - 1024 * F.col("met")))
     placed = running_total(lists, ["key"], "part", [F.col("order"), F.col("id")], F.lit(1), "pos")
-    return settle(placed.select("key", "id", "size", "pos"))
+    return settle(placed.select(*LISTED))
 
 
 def _hooked(comps: DataFrame, near: DataFrame, n: int) -> DataFrame:
@@ -228,16 +275,26 @@ def _hooked(comps: DataFrame, near: DataFrame, n: int) -> DataFrame:
     return tidy(comps.join(few(hop, k), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))[0]
 
 
-def links(fps: DataFrame, sets: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (u < v) between the similar ones of ``fps``, which join all that are linked, and the pairs compared for them.
+def links(fps: DataFrame, sets: DataFrame, lists: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (u < v) between the similar ones of ``fps``, which join all that are linked, and the pairs compared for them: ``pairs`` first.
 
-    ``fps`` (id, sig, size), ``sets`` and ``lists`` are settled.
+    ``fps`` (id, sig, size), ``sets``, ``lists`` and ``pairs`` are settled.
     """
     spark = fps.sparkSession
     folder, first, turn = f"{shared_dir(spark).rstrip('/')}/similar-{uuid.uuid4()}", 0, 0
     comps, texts = tidy(lists.select("id").distinct().withColumn("comp", F.col("id")))
-    found, n_found = tidy(fps.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0))
-    tested, n_tested = found, 0
+    tested, n_tested = tidy(pairs)
+    found, n_found = _similar(tested, fps, sets) if n_tested else (tested, 0)
+    comps = _hooked(_hooked(comps, found, n_found), found, n_found)
+
+    def left(*made: tuple[DataFrame, int]) -> list[DataFrame]:
+        """The tables that a round leaves to the next one; those of the round before go."""
+        kept = [stored(t, f"{folder}/{turn}", str(i), max(1, -(-rows // TIDY_ROWS))) for i, (t, rows) in enumerate(made)]
+        remove(spark, f"{folder}/{turn - 1}")
+        return kept
+
+    found, tested, comps, lists = left((found, n_found), (tested, n_tested), (comps, texts), (lists, lists.count()))
+    turn = 1
     while True:
         members, _ = tidy(lists.where(F.col("size") > first + 1).join(few(comps, texts), "id"))
         parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
@@ -251,27 +308,27 @@ def links(fps: DataFrame, sets: DataFrame, lists: DataFrame) -> tuple[DataFrame,
             return found, tested
         step = most if rest <= texts else max(1, first if first < 64 else 3 * first)  # the rest at once if it is little
         last = first + min(step, 1 + PAIRS // n, MOST_LEADERS) - 1
-        leaders = lists.where(F.col("pos").between(first, last)).groupBy("key").agg(F.collect_list(F.struct("id", "comp", "pos")).alias("leaders"), F.max("size").alias("n"))
-        other = F.filter("leaders", lambda x: (x.pos < F.col("pos")) & (x.comp != F.col("comp")))
-        met = skew_join(lists.select("key", "id", "comp", "pos"), tidy(leaders)[0], ["key"], 32 * F.size("leaders")).select("id", F.explode(other).alias("leader"))
+        leaders = lists.where(F.col("pos").between(first, last)).groupBy("key").agg(F.collect_list(F.struct("id", "comp", "pos", "whole", "shared")).alias("leaders"), F.max("size").alias("n"))
+        other = F.filter("leaders", lambda x: (x.pos < F.col("pos")) & (x.comp != F.col("comp")) & _may_be_similar(F.least(x.shared, F.col("shared")), x.whole + F.col("whole")))
+        met = skew_join(lists.select("comp", *LISTED), tidy(leaders)[0], ["key"], 48 * F.size("leaders")).select("id", F.explode(other).alias("leader"))
         pairs = met.select(F.least("id", "leader.id").alias("u"), F.greatest("id", "leader.id").alias("v")).distinct()
         pairs, n_pairs = tidy(pairs.join(few(tested, n_tested), ["u", "v"], "left_anti"))
         near, n_near = _similar(pairs, fps, sets)
         n_found, n_tested = n_found + n_near, n_tested + n_pairs
         comps = _hooked(_hooked(comps, near, n_near), near, n_near)
-        # The tables that a round leaves to the next one; those of the round before go.
-        made = ((found.union(near), n_found), (tested.union(pairs), n_tested), (comps, texts), (lists.select("key", "id", "size", "pos"), n_lists))
-        found, tested, comps, lists = (stored(t, f"{folder}/{turn}", str(i), max(1, -(-rows // TIDY_ROWS))) for i, (t, rows) in enumerate(made))
-        remove(spark, f"{folder}/{turn - 1}")
+        found, tested, comps, lists = left((found.union(near), n_found), (tested.union(pairs), n_tested), (comps, texts), (lists.select(*LISTED), n_lists))
         first, turn = last + 1, turn + 1
 
 
 def similar_pairs(fps: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``links`` of the settled ``fps`` (id, sig, size, keys, best._id of ``rows``)."""
-    lists = _lists(fps)
-    needed = settle(fps.select("id", "best._id").join(lists.select("id").distinct(), "id", "left_semi"))
-    sets = settle(shingle_sets(by_row(rows, needed).select("id", F.col("_doc.text").cast("string").alias("text"))))
-    return links(fps, sets, lists)
+    posts, pairs = _posts(fps), settle(indexed(fps))
+    ids = posts.select("id").union(pairs.select(F.explode(F.array("u", "v")).alias("id"))).distinct()
+    needed = settle(fps.select("id", "best._id").join(ids, "id", "left_semi"))
+    # Texts are shuffled by row at every size.
+    texts = rows.join(needed.hint("merge"), "_id").select("id", F.col("_doc.text").cast("string").alias("text"))
+    sets = settle(shingle_sets(texts))
+    return links(fps, sets, _lists(posts, settle(shared_counts(sets))), pairs)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -284,6 +341,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = components(similar_pairs(fps, rows)[0])
     linked = settle(fps.select("id", "best").join(found, F.col("id") == F.col("node"), "left").select("best", F.coalesce("component", "id").alias("component")))
     kept = settle(linked.groupBy("component").agg(F.min("best").alias("best")).select("best._id"))
-    if made.count() - kept.count() <= BROADCAST_ROWS:  # the rows that go can be broadcast, and no text is shuffled
-        return by_row(rows, settle(made.select("_id").join(kept, "_id", "left_anti")), "left_anti").select("_doc.*")
-    return rows.join(kept, "_id", "left_semi").select("_doc.*")
+    return rows.join(kept.hint("merge"), "_id", "left_semi").select("_doc.*")
