@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vocalith.llm import similar
@@ -88,3 +89,39 @@ def test_own_shingles_and_the_byte_index(spark):
     found, tested = similar.similar_pairs(fps, rows)
     assert {tuple(r) for r in tested.collect()} == near
     assert [tuple(r) for r in found.collect()] == [(100, 101)]
+
+
+def test_lonely_copies_with_shared_changes_are_not_compared(spark):
+    """Copies that are similar to none, though nearly all of their shingles occur in others, make hardly any pairs; groups stay exact."""
+    rng = random.Random(11)
+    base, texts = rng.choices(WORDS, k=200), {}
+    for i in range(60):
+        texts[i] = changed(rng, base, 1)
+    for i in range(100, 240, 2):
+        places = rng.sample(range(200), 8)
+        for j, own in ((i, places[2:5]), (i + 1, places[5:8])):
+            texts[j] = list(base)
+            for place in [*places[:2], *own]:
+                texts[j][place] = f"shared{i}" if place in places[:2] else rng.choice(WORDS)
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    rows = identified(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    made = settle(similar.fingerprints(rows.select("_id", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))))
+    fps = settle(made.select(F.struct("doc_id", "_id").alias("best"), "sig", "size", "keys", F.col("doc_id").alias("id")))
+    found, tested = similar.similar_pairs(fps, rows)
+    want = {i: min(g) for g in groups_of(texts) for i in g}
+    got = {r.node: r.component for r in components(found).collect()}
+    assert {i: got.get(i, i) for i in texts} == want and 100 < len(set(want.values())) < len(texts)
+    assert tested.count() < 5 * len(texts)
+
+
+def test_sketches_never_differ_more_than_sets(spark):
+    """Bits in which sketches differ are no more than the shingles that only one set has, also for sets with far more shingles than bits."""
+    rng = random.Random(12)
+    base = rng.choices(WORDS, k=3000)
+    texts = [(0, ""), (1, " ".join(base)), (2, " ".join(base[:50])), *((i, " ".join(changed(rng, base[:200], i))) for i in range(3, 20))]
+    sets = settle(similar.shingle_sets(spark.createDataFrame(texts, "id long, text string")))
+    each = {r.id: set(np.frombuffer(r.set, np.uint32).tolist()) for r in sets.collect()}
+    odd = {r.id: np.array(r.odd, np.int64) for r in similar.odd_sketches(sets).collect()}
+    differ = {(u, v): int(np.bitwise_count((odd[u] ^ odd[v]).view(np.uint64)).sum()) for u in odd for v in odd}
+    assert all(d <= len(each[u] ^ each[v]) and (d - len(each[u] ^ each[v])) % 2 == 0 for (u, v), d in differ.items())
+    assert differ[3, 19] > 100 and not odd[0].any()

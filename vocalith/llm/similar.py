@@ -13,13 +13,15 @@ error of about 0.02 at 0.8.  Pairs within ``UNSURE`` of the limit are decided by
 
 Hits are counted here too.  Shingles that no other text in a list has can't be shared: a text with more than a fifth of such
 ones is similar to none, and two texts whose other shingles are too few for 0.8 are not compared.  This loses no link.
+Nor does the third rule, for lists of more than ``LONG_LIST`` texts: sets differ in at least as many shingles as their
+sketches by odd counts differ in bits (``odd_sketches``), and two texts whose sketches differ too much for 0.8 are not compared.
 
 No list emits all its pairs.  In a round some texts of each list lead: the first, then the next, then more.
 They are compared with the texts behind them, but only with those that the links so far do not
 join to them; a list whose texts have all been joined is left.  Texts in long lists lead first, so a
 text that is similar to many others meets few of them.  No pair is compared twice, and by the end each pair of a list
 has been compared, can't be similar or is joined, so no link is lost that would join groups.  A text that is similar to none, but shares
-most of its shingles, meets all of its lists.
+most of its shingles, has its sketch held against all of its lists, and makes a pair only with the few that may be near enough.
 
 Defined cases: ASCII letters are lower-cased; a null text has no words; fewer than five words are
 one shingle; texts without words are one group; equal texts are one group; a null doc_id is
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from vocalith.llm import simhash
-from vocalith.llm.common import TIDY_ROWS, few, identified, remove, running_total, settle, shared_dir, skew_join, stored, tidy
+from vocalith.llm.common import BROADCAST_ROWS, TIDY_ROWS, few, identified, remove, running_total, settle, shared_dir, skew_join, stored, tidy
 from vocalith.llm.simhash import components
 
 SHINGLE = 5
@@ -51,6 +53,9 @@ ROWS = 6
 #: Pairs of texts, some 600 bytes each, that a round compares, or one for each text if that is more; and leaders of a list in a round.
 PAIRS = 20_000_000
 MOST_LEADERS = 4096
+#: Texts in lists of more than this many have a sketch, of so many 64-bit words.
+LONG_LIST = 16
+SKETCH = 16
 #: Over four standard errors of the estimate by fingerprints.
 UNSURE = 0.09
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -233,6 +238,32 @@ def shared_counts(sets: DataFrame) -> DataFrame:
     return sets.select("id", whole.alias("whole")).join(alone, "id", "left").select("id", "whole", (F.col("whole") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
+def odd_sketches(sets: DataFrame) -> DataFrame:
+    """id and ``odd`` of the rows (id, set): ``SKETCH`` words, in which a bit is 1 if an odd number of shingles fall on it.
+
+    Each shingle that only one of two sets has changes one bit, so sets differ in no fewer shingles than their sketches in bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.empty((batch.num_rows, SKETCH), np.int64)
+            for i, x in enumerate(batch.column("set")):
+                counts = np.bincount(np.frombuffer(x.as_py(), np.uint32) % (64 * SKETCH), minlength=64 * SKETCH)
+                made[i] = np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(made.ravel()))], ["id", "odd"])
+
+    return sets.select("id", "set").mapInArrow(run, "id long, odd array<long>")
+
+
+def _may_be_near(odd: Column, other: Column, sizes: Column) -> Column:
+    """Whether texts of together ``sizes`` shingles can be similar by their sketches; a null one tells nothing."""
+    most = (1 - SIMILARITY) / (1 + SIMILARITY) * sizes + 1e-6
+    bits = [F.bit_count(odd[i].bitwiseXOR(other[i])) for i in range(SKETCH)]
+    half = sum(bits[1 : SKETCH // 2], bits[0])  # which mostly suffices to tell
+    return F.coalesce((half <= most) & (sum(bits[SKETCH // 2 :], half) <= most), F.lit(True))
+
+
 def _may_be_similar(shared: Column, sizes: Column) -> Column:
     """Whether texts of together ``sizes`` shingles that have ``shared`` in common at most can be similar."""
     return (1 + SIMILARITY) * shared >= SIMILARITY * sizes - 1e-6
@@ -283,10 +314,17 @@ def links(fps: DataFrame, sets: DataFrame, lists: DataFrame, pairs: DataFrame) -
     spark = fps.sparkSession
     folder, first, turn = f"{shared_dir(spark).rstrip('/')}/similar-{uuid.uuid4()}", 0, 0
     comps, texts = tidy(lists.select("id").distinct().withColumn("comp", F.col("id")))
+    odds, n_odds = tidy(odd_sketches(sets.join(few(*tidy(lists.where(F.col("size") > LONG_LIST).select("id").distinct())), "id")))
     tested, n_tested = tidy(pairs)
     found, n_found = _similar(tested, fps, sets) if n_tested else (tested, 0)
     comps = _hooked(_hooked(comps, found, n_found), found, n_found)
 
+    def sketched(rows: DataFrame) -> DataFrame:
+        """The settled ``rows`` with their sketch ``odd``, if they have one."""
+        if not n_odds:
+            return rows.withColumn("odd", F.lit(None).cast("array<long>"))
+        return rows.join(F.broadcast(odds), "id", "left") if n_odds <= BROADCAST_ROWS else settle(rows.join(odds, "id", "left"))
+
     def left(*made: tuple[DataFrame, int]) -> list[DataFrame]:
         """The tables that a round leaves to the next one; those of the round before go."""
         kept = [stored(t, f"{folder}/{turn}", str(i), max(1, -(-rows // TIDY_ROWS))) for i, (t, rows) in enumerate(made)]
@@ -308,10 +346,13 @@ def links(fps: DataFrame, sets: DataFrame, lists: DataFrame, pairs: DataFrame) -
             return found, tested
         step = most if rest <= texts else max(1, first if first < 64 else 3 * first)  # the rest at once if it is little
         last = first + min(step, 1 + PAIRS // n, MOST_LEADERS) - 1
-        leaders = lists.where(F.col("pos").between(first, last)).groupBy("key").agg(F.collect_list(F.struct("id", "comp", "pos", "whole", "shared")).alias("leaders"), F.max("size").alias("n"))
-        other = F.filter("leaders", lambda x: (x.pos < F.col("pos")) & (x.comp != F.col("comp")) & _may_be_similar(F.least(x.shared, F.col("shared")), x.whole + F.col("whole")))
-        met = skew_join(lists.select("comp", *LISTED), tidy(leaders)[0], ["key"], 48 * F.size("leaders")).select("id", F.explode(other).alias("leader"))
-        pairs = met.select(F.least("id", "leader.id").alias("u"), F.greatest("id", "leader.id").alias("v")).distinct()
+        rows = sketched(lists)
+        leaders = rows.where(F.col("pos").between(first, last)).groupBy("key").agg(F.collect_list(F.struct("id", "comp", "pos", "whole", "shared", "odd")).alias("leaders"), F.max("size").alias("n"))
+        meet = lambda x: (x.pos < F.col("pos")) & (x.comp != F.col("comp")) & _may_be_similar(F.least(x.shared, F.col("shared")), x.whole + F.col("whole"))
+        other = F.transform(F.filter("leaders", lambda x: meet(x) & _may_be_near(x.odd, F.col("odd"), x.whole + F.col("whole"))), lambda x: x.id)
+        wide = (64 + 8 * SKETCH * (n_odds > 0)) * F.size("leaders")
+        met = skew_join(rows.select("comp", "odd", *LISTED), tidy(leaders)[0], ["key"], wide).select("id", F.explode(other).alias("leader"))
+        pairs = met.select(F.least("id", "leader").alias("u"), F.greatest("id", "leader").alias("v")).distinct()
         pairs, n_pairs = tidy(pairs.join(few(tested, n_tested), ["u", "v"], "left_anti"))
         near, n_near = _similar(pairs, fps, sets)
         n_found, n_tested = n_found + n_near, n_tested + n_pairs
