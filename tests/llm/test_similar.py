@@ -125,3 +125,24 @@ def test_sketches_never_differ_more_than_sets(spark):
     differ = {(u, v): int(np.bitwise_count((odd[u] ^ odd[v]).view(np.uint64)).sum()) for u in odd for v in odd}
     assert all(d <= len(each[u] ^ each[v]) and (d - len(each[u] ^ each[v])) % 2 == 0 for (u, v), d in differ.items())
     assert differ[3, 19] > 100 and not odd[0].any()
+
+
+def test_hardly_similar_copies_take_few_comparisons(spark, monkeypatch):
+    """Long lists of texts that are similar to few others are not gone through in ever the same steps; groups stay exact."""
+    rng, rounds, real = random.Random(13), [], similar._similar
+    monkeypatch.setattr(similar, "_similar", lambda *a: (rounds.append(0), real(*a))[1])
+    base = rng.choices(WORDS, k=200)
+    texts = {i: " ".join(changed(rng, base, 1 if i % 20 == 0 else 4)) for i in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = sorted(min(g) for g in groups_of(texts))
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == want and 20 < len(want) < len(texts)
+    assert len(rounds) <= 5
+
+
+def test_few_and_many_pairs_get_the_same_columns(spark, monkeypatch):
+    rng = random.Random(14)
+    sets = settle(similar.shingle_sets(spark.createDataFrame([(i, " ".join(rng.choices(WORDS, k=20))) for i in range(40)] + [(40, "")], "id long, text string")))
+    made = settle(spark.createDataFrame([(0, v) for v in range(1, 41)] + [(u, u + 1) for u in range(1, 20)], "u long, v long"))
+    few = sorted(similar._both(made, sets, 59).select("u", "v", "uset", "vset").collect())
+    monkeypatch.setattr(similar, "BROADCAST_ROWS", 0)
+    assert few == sorted(similar._both(made, sets, 59).select("u", "v", "uset", "vset").collect()) and len(few) == 59

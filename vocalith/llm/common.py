@@ -48,13 +48,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def tidy(df: DataFrame) -> tuple[DataFrame, int]:
+def tidy(df: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
     """``df`` settled, in as few partitions as its rows need, and how many rows it has.
 
     What is small enough for one partition is then grouped and joined there without being shuffled.
+    If ``most`` is known, which the rows don't exceed, it is taken and they are not counted.
     """
     made = settle(df)
-    n = made.count()
+    n = made.count() if most is None else most
     return made.coalesce(max(1, -(-n // TIDY_ROWS))), n
 
 

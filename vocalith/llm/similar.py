@@ -188,18 +188,31 @@ def _with(pairs: DataFrame, of: DataFrame, side: str) -> DataFrame:
     counts, n = tidy(pairs.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("n")))
     named = [F.col(c).alias(f"{side}{c}") for c in of.columns if c != "id"]
     wide = F.octet_length(next(f"{side}{c}" for c in ("sig", "set") if c in of.columns))
-    return skew_join(pairs, tidy(of.join(few(counts, n), "id").select(F.col("id").alias(side), *named, "n"))[0], [side], wide)
+    return skew_join(pairs, tidy(of.join(few(counts, n), "id").select(F.col("id").alias(side), *named, "n"), n)[0], [side], wide)
 
 
-def _both(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    return _with(tidy(_with(pairs, of, "u"))[0], of, "v")
+def _both(pairs: DataFrame, of: DataFrame, n: int) -> DataFrame:
+    """The ``n`` different tidy ``pairs`` (u, v) with the columns that ``of`` has for both sides.
+
+    Few pairs meet ``of`` by broadcast, and both sides of a pair then each other, in one query; rounds that
+    compare few pairs would else spend more queries on them, and more of the driver's memory, than on all else.
+    """
+    if n > BROADCAST_ROWS:
+        return _with(tidy(_with(pairs, of, "u"), n)[0], of, "v")
+    ends = of.join(F.broadcast(pairs.select("u", "v", F.explode(F.array("u", "v")).alias("id"))), "id")
+    sides = [F.max(F.when(F.col("id") == F.col(side), F.col(c))).alias(f"{side}{c}") for side in "uv" for c in of.columns if c != "id"]
+    return ends.groupBy("u", "v").agg(*sides)
 
 
-def _similar(pairs: DataFrame, fps: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
-    """The similar ones of the tidy ``pairs`` (u, v), and their number."""
-    told, _ = tidy(_estimated(_both(pairs, fps.select("id", "sig", "size"))).where(F.col("s") >= SIMILARITY - UNSURE))
+def _similar(pairs: DataFrame, n: int, fps: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
+    """The similar ones of the ``n`` tidy ``pairs`` (u, v), and their number."""
+    if not n:
+        return pairs, 0
+    told, k = tidy(_estimated(_both(pairs, fps.select("id", "sig", "size"), n)).where(F.col("s") >= SIMILARITY - UNSURE))
+    if not k:
+        return told.select("u", "v"), 0
     sure, open_ = told.where(F.col("s") >= SIMILARITY + UNSURE).select("u", "v"), told.where(F.col("s") < SIMILARITY + UNSURE).select("u", "v")
-    return tidy(sure.union(_decided(_both(open_, sets))))
+    return tidy(sure.union(_decided(_both(open_, sets, k))))
 
 
 def indexed(fps: DataFrame) -> DataFrame:
@@ -285,25 +298,33 @@ def _lists(posts: DataFrame, counts: DataFrame) -> DataFrame:
     return settle(placed.select(*LISTED))
 
 
-def _hooked(comps: DataFrame, near: DataFrame, n: int) -> DataFrame:
-    """The parts ``comps`` (id, comp), each joined to the largest one that one of the ``n`` links ``near`` (u, v) leads to, if that is larger."""
+def _hooked(comps: DataFrame, texts: int, near: DataFrame, n: int) -> DataFrame:
+    """The parts ``comps`` (id, comp) of so many ``texts``, each joined to the largest one that one of the ``n`` links ``near`` (u, v) leads to, if that is larger."""
     if not n:
         return comps
     ends = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    own, _ = tidy(comps.join(few(ends, 2 * n), "id"))
+    own, _ = tidy(comps.join(few(ends, 2 * n), "id"), 2 * n)
     at = lambda side: own.select(F.col("id").alias(side), F.col("comp").alias(f"{side}c"))
     linked = near.join(at("u"), "u").join(at("v"), "v").where("uc <> vc")
     ways = F.explode(F.array(F.struct(F.col("uc").alias("comp"), F.col("vc").alias("other")), F.struct(F.col("vc").alias("comp"), F.col("uc").alias("other"))))
     both, k = tidy(linked.select(ways.alias("w")).select("w.*").distinct())
     if not k:
         return comps
-    sizes, _ = tidy(comps.join(few(both.select("comp").distinct(), k), "comp").groupBy("comp").agg(F.count("*").alias("n")))
+    sizes, _ = tidy(comps.join(few(both.select("comp").distinct(), k), "comp").groupBy("comp").agg(F.count("*").alias("n")), k)
     best = both.join(sizes.select(F.col("comp").alias("other"), "n"), "other").groupBy("comp").agg(F.max(F.struct("n", F.col("other").alias("comp"))).alias("best"))
     to = F.when(F.col("best") > F.struct("n", "comp"), F.col("best.comp")).otherwise(F.col("comp"))
-    hop, k = tidy(sizes.join(best, "comp").select("comp", to.alias("to")))
+    hop, k = tidy(sizes.join(best, "comp").select("comp", to.alias("to")), k)
     for _ in range(2):  # so that four steps are made
-        hop, k = tidy(hop.join(few(hop.select(F.col("comp").alias("to"), F.col("to").alias("then")), k), "to").select("comp", F.col("then").alias("to")))
-    return tidy(comps.join(few(hop, k), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))[0]
+        hop, k = tidy(hop.join(few(hop.select(F.col("comp").alias("to"), F.col("to").alias("then")), k), "to").select("comp", F.col("then").alias("to")), k)
+    return tidy(comps.join(few(hop, k), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), texts)[0]
+
+
+def _next_step(first: int, last: int, n_pairs: int, texts: int) -> int:
+    """How many texts of a list lead next if those at ``first`` to ``last`` made ``n_pairs`` pairs: more than before, and as many as would make a pair for each text.
+
+    Once the similar texts are joined few pairs are made, and the rest of long lists takes few rounds.
+    """
+    return max(last + 1 if last < 63 else 3 * (last + 1), (last + 1 - first) * (texts // max(1, n_pairs)))
 
 
 def links(fps: DataFrame, sets: DataFrame, lists: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -312,12 +333,11 @@ def links(fps: DataFrame, sets: DataFrame, lists: DataFrame, pairs: DataFrame) -
     ``fps`` (id, sig, size), ``sets``, ``lists`` and ``pairs`` are settled.
     """
     spark = fps.sparkSession
-    folder, first, turn = f"{shared_dir(spark).rstrip('/')}/similar-{uuid.uuid4()}", 0, 0
+    folder, files, first, step = f"{shared_dir(spark).rstrip('/')}/similar-{uuid.uuid4()}", {}, 0, 1
     comps, texts = tidy(lists.select("id").distinct().withColumn("comp", F.col("id")))
     odds, n_odds = tidy(odd_sketches(sets.join(few(*tidy(lists.where(F.col("size") > LONG_LIST).select("id").distinct())), "id")))
     tested, n_tested = tidy(pairs)
-    found, n_found = _similar(tested, fps, sets) if n_tested else (tested, 0)
-    comps = _hooked(_hooked(comps, found, n_found), found, n_found)
+    found, n_found = _similar(tested, n_tested, fps, sets)
 
     def sketched(rows: DataFrame) -> DataFrame:
         """The settled ``rows`` with their sketch ``odd``, if they have one."""
@@ -325,40 +345,46 @@ def links(fps: DataFrame, sets: DataFrame, lists: DataFrame, pairs: DataFrame) -
             return rows.withColumn("odd", F.lit(None).cast("array<long>"))
         return rows.join(F.broadcast(odds), "id", "left") if n_odds <= BROADCAST_ROWS else settle(rows.join(odds, "id", "left"))
 
-    def left(*made: tuple[DataFrame, int]) -> list[DataFrame]:
-        """The tables that a round leaves to the next one; those of the round before go."""
-        kept = [stored(t, f"{folder}/{turn}", str(i), max(1, -(-rows // TIDY_ROWS))) for i, (t, rows) in enumerate(made)]
-        remove(spark, f"{folder}/{turn - 1}")
+    def left(name: str, made: DataFrame, rows: int) -> DataFrame:
+        """The table ``name`` that a round leaves to the next one; that of a round before goes."""
+        old, files[name] = files.get(name, 0), files.get(name, 0) + 1
+        kept = stored(made, folder, f"{name}-{old + 1}", max(1, -(-rows // TIDY_ROWS)))
+        if old:
+            remove(spark, f"{folder}/{name}-{old}")
         return kept
 
-    found, tested, comps, lists = left((found, n_found), (tested, n_tested), (comps, texts), (lists, lists.count()))
-    turn = 1
+    comps = left("comps", _hooked(_hooked(comps, texts, found, n_found), texts, found, n_found), texts)
+    found, tested, lists = left("found", found, n_found), left("tested", tested, n_tested), left("lists", lists, lists.count())
     while True:
-        members, _ = tidy(lists.where(F.col("size") > first + 1).join(few(comps, texts), "id"))
+        members = settle(lists.where(F.col("size") > first + 1).join(few(comps, texts), "id"))
         parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
         largest = F.max_by("comp", F.struct("n", "comp")).alias("largest")
-        split, _ = tidy(parts.groupBy("key").agg(largest, F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
-        lists, n_lists = tidy(skew_join(members, split, ["key"]))  # of which some are not yet joined
-        n, rest, most = lists.where("comp <> largest").agg(F.count("*"), F.sum("size"), F.max("size")).first()
+        split = settle(parts.groupBy("key").agg(largest, F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
+        open_ = settle(skew_join(members, split, ["key"]))  # lists of which some are not yet joined
+        apart = F.col("comp") != F.col("largest")
+        n_lists, n, rest, most = open_.agg(F.count("*"), F.count_if(apart), F.sum(F.when(apart, F.col("size"))), F.max(F.when(apart, F.col("size")))).first()
         if not n:
             found, tested = settle(found), settle(tested)
             remove(spark, folder)
             return found, tested
-        step = most if rest <= texts else max(1, first if first < 64 else 3 * first)  # the rest at once if it is little
-        last = first + min(step, 1 + PAIRS // n, MOST_LEADERS) - 1
-        rows = sketched(lists)
+        rows = open_.coalesce(max(1, -(-n_lists // TIDY_ROWS)))
+        last = first + min(most if rest <= texts else step, 1 + PAIRS // n, MOST_LEADERS) - 1  # the rest at once if it is little
+        lists, rows = left("lists", rows.select(*LISTED), n_lists), sketched(rows)
         leaders = rows.where(F.col("pos").between(first, last)).groupBy("key").agg(F.collect_list(F.struct("id", "comp", "pos", "whole", "shared", "odd")).alias("leaders"), F.max("size").alias("n"))
         meet = lambda x: (x.pos < F.col("pos")) & (x.comp != F.col("comp")) & _may_be_similar(F.least(x.shared, F.col("shared")), x.whole + F.col("whole"))
         other = F.transform(F.filter("leaders", lambda x: meet(x) & _may_be_near(x.odd, F.col("odd"), x.whole + F.col("whole"))), lambda x: x.id)
         wide = (64 + 8 * SKETCH * (n_odds > 0)) * F.size("leaders")
-        met = skew_join(rows.select("comp", "odd", *LISTED), tidy(leaders)[0], ["key"], wide).select("id", F.explode(other).alias("leader"))
+        met = skew_join(rows.select("comp", "odd", *LISTED), tidy(leaders, n_lists)[0], ["key"], wide).select("id", F.explode(other).alias("leader"))
         pairs = met.select(F.least("id", "leader").alias("u"), F.greatest("id", "leader").alias("v")).distinct()
         pairs, n_pairs = tidy(pairs.join(few(tested, n_tested), ["u", "v"], "left_anti"))
-        near, n_near = _similar(pairs, fps, sets)
+        near, n_near = _similar(pairs, n_pairs, fps, sets)
         n_found, n_tested = n_found + n_near, n_tested + n_pairs
-        comps = _hooked(_hooked(comps, near, n_near), near, n_near)
-        found, tested, comps, lists = left((found.union(near), n_found), (tested.union(pairs), n_tested), (comps, texts), (lists.select(*LISTED), n_lists))
-        first, turn = last + 1, turn + 1
+        if n_pairs:
+            tested = left("tested", tested.union(pairs), n_tested)
+        if n_near:
+            found, comps = left("found", found.union(near), n_found), left("comps", _hooked(_hooked(comps, texts, near, n_near), texts, near, n_near), texts)
+        step = _next_step(first, last, n_pairs, texts)
+        first = last + 1
 
 
 def similar_pairs(fps: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
