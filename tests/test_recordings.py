@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow.fs as fs
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from vocalith.functions import scoring as S
 from vocalith.functions import signals as G
 from vocalith.functions import text as T
 from vocalith.operators import blocks, layout, priors, shared
-from vocalith.plans import signal
+from vocalith.plans import analysis, signal
 from vocalith.sources import audio
 
 
@@ -176,3 +177,17 @@ def test_blocks_are_held_a_few_at_a_time(spark, monkeypatch):
     assert sorted((r.start, r.samples[0]) for r in got) == [(100 * i, float(i)) for i in range(300)]
     per = [sum(r.part == p for r in got) for p in {r.part for r in got}]
     assert len(per) >= 20 and max(per) <= 40
+
+
+def test_one_clip_in_ten_is_too_large(spark, tmp_path):
+    """However many clips there are; a file has all the bytes that were made for it."""
+    spark.range(40).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    errors = {r.path: r.error for r in analysis.analyze_audio(spark, str(tmp_path)).select("path", "error").collect()}
+    assert len(errors) == 40
+    assert {p for p, e in errors.items() if e == "audio/too-large"} == {f"clip-{i}.flac" for i in (9, 19, 29, 39)}
+    made = [analysis.odd_clip(i) for i in (1, 5, 7, 19)] + [("silent.wav", bytes(2000))]
+    assert audio.save(spark.range(5).withColumnRenamed("id", "label"), made.__getitem__, f"file://{tmp_path}/clips") == 5
+    assert all((tmp_path / "clips" / path).read_bytes() == content for path, content in made)
+    other = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())  # not taken to be local
+    audio._write(other, "other.flac", made[3][1])
+    assert (tmp_path / "other.flac").read_bytes() == made[3][1]

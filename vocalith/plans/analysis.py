@@ -61,7 +61,7 @@ def odd_clip(i: int) -> tuple[str, bytes]:
         return f"clip-{i}.WAV", b"RIFF????WAVEfmt "
     if kind == 7:
         return f"clip-{i}.opus", b"OggS" + bytes(100)
-    if i == 9:
+    if kind == 9:
         return f"clip-{i}.flac", bytes(audio.MOST_BYTES + 1)
     return f"clip-{i}.wav", signal.tone_clip(i)
 
@@ -69,7 +69,7 @@ def odd_clip(i: int) -> tuple[str, bytes]:
 def analyze_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips written as files, one for each supplier, read back, analyzed and classified."""
     folder = jobs.job_dir(spark, "clips")
-    audio.save(signal.clips_of(signal.labels(spark, sf_dir), odd_clip), folder)
+    audio.save(signal.labels(spark, sf_dir), odd_clip, folder)
     name = F.substring_index("path", "/", -1)
     clips = audio.files(spark, folder).withColumn("path", name)
     number = F.regexp_extract("path", r"-(\d+)\.", 1).cast("long")
